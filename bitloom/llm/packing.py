@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import settle, table
+from .base import settle, slices, table
 
-CAPACITY, END, PER_TASK, KNOWN = 4096, 1, 100_000, 400_000
+CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 700_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 #: Characters on which Python and the tokenizer might disagree whether they are white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -35,54 +37,118 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A word that surely is one pre-token of letters and one of signs; anything else goes to the tokenizer whole.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?:;*%&$#()\"|-]*)")
+
+
+class _Known(dict):
+    """Numbers words as they come; `new` holds those that are still to be encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def forget(self, keep: int) -> None:
+        while len(self) > keep:
+            self.popitem()
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer never crosses white space, so it encodes each word once and the worker keeps up to `known` of them."""
+    """Ids of whole texts. The tokenizer never crosses white space, so it encodes each word once, and of simple words the letters.
+
+    Of words and of letter runs the first `known` / 2 stay, which the frequent ones are among; the others are forgotten
+    when there are more than `known`.
+    """
 
     def __init__(self, path: str, known: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.t, self.limit = Tokenizer.from_file(path), known
-        self.reset()
-
-    def reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.model = self.t.model
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        # how the tokenizer spells a letter's bytes
+        self.spell = str.maketrans({c: "".join(x for x, _ in self.t.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
+        self.at, self.runs = _Known(), {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > self.limit:
-            self.reset()
-        found = [e.ids for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
-        n, k = len(self.at), len(self.at) + len(words)
-        while k > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        self.begin = np.zeros((1 << 16) + 1, np.int64)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def run(self, low: str) -> bytes:
+        """Ids of a lower-case run of letters."""
+        found = self.runs.get(low)
+        if found is None:
+            if len(self.runs) > self.limit:
+                while len(self.runs) > self.limit // 2:
+                    self.runs.popitem()
+            found = self.runs[low] = array("I", [t.id for t in self.model.tokenize(low.translate(self.spell))]).tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        m = SIMPLE.fullmatch(word)
+        if not m:
+            return self.whole(word)
+        letters, signs = m.groups()
+        if not signs:
+            return self.run(letters.lower())
+        tail = self.runs.get(signs)
+        if tail is None:
+            tail = self.runs[signs] = self.whole(signs)
+        return self.run(letters.lower()) + tail
+
+    def learn(self) -> None:
+        new = self.at.new
+        found = list(map(self.word, new))
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        stops = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        k, n = len(self.at), len(self.at) - len(new)
+        while k >= len(self.begin):
+            self.begin = np.resize(self.begin, 2 * len(self.begin))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[n:k], self.size[n:k] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.begin[n + 1 : k + 1] = stops
         self.used += len(flat)
-        self.at.update(zip(words, range(n, k)))
+        new.clear()
 
     def encode(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        out = []
-        for at in range(0, len(words), self.limit // 4):
-            part = words[at : at + self.limit // 4]
-            codes = list(map(self.at.get, part))
-            if None in codes:
-                new = list(dict.fromkeys(w for w, c in zip(part, codes) if c is None))
-                full = len(self.at) + len(new) > self.limit
-                self.learn(list(dict.fromkeys(part)) if full else new)
-                codes = list(map(self.at.__getitem__, part))
-            codes = np.array(codes, np.int64)
-            size = self.size[codes]
-            total = int(size.sum())
-            out.append(self.ids[np.repeat(self.begin[codes] - (np.cumsum(size) - size), size) + np.arange(total)])
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        odd = [bool(ODD_SPACE.search(t)) for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, odd)]
+        flat = list(chain.from_iterable(words))
+        step, sizes, ids = max(1, self.limit // 4), [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(flat), step):
+            part = flat[at : at + step]
+            if len(self.at) > self.limit:
+                self.at.forget(self.limit // 2)
+                self.used = int(self.begin[len(self.at)])
+            codes = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            if self.at.new:
+                self.learn()
+            begin = self.begin[codes]
+            size = self.begin[codes + 1] - begin
+            sizes.append(size)
+            ids.append(self.ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        ids = np.concatenate(ids)
+        stops = np.r_[0, np.cumsum(np.concatenate(sizes))][np.cumsum([0] + [len(w) for w in words])]
+        return [np.frombuffer(self.whole(t), np.uint32) if o else ids[a:b] for t, o, a, b in zip(texts, odd, stops[:-1], stops[1:])]
+
+
+#: One encoder for each path in a Python worker: what it knows serves the tasks that the worker runs after another.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -92,11 +158,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """One row per piece: a document's ids and `end`, cut every `capacity` tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for b in batches:
+        words = encoder(path)
+        for b in slices(batches, "text", SLICE):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(encoder.encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+            for doc, own in zip(b.column(0).to_pylist(), words.encode_many([x or "" for x in b.column(1).to_pylist()])):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     rows.append((doc, k, at, len(own), zlib.crc32(own.tobytes())))
