@@ -79,13 +79,15 @@ def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return np.nonzero(x @ y.T >= threshold)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
-    """Whether `here` is the smallest number that the rows of a and b (padded by -1) share."""
-    out = np.ones(len(a), bool)
-    for k in range(a.shape[1]):
-        col = a[:, k : k + 1]
-        out &= ~((col >= 0) & (col < here) & (b == col)).any(axis=1)
-    return out
+def _earlier(lists: pa.ListArray, here: int) -> np.ndarray:
+    """For each row a bit set of the leaves before `here` that it is in, over those that any row is in."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    row, leaf = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+    before = leaf < here
+    uniq, place = np.unique(leaf[before], return_inverse=True)
+    member = np.zeros((len(sizes), max(64, -(-len(uniq) // 64) * 64)), bool)
+    member[row[before], place] = True
+    return np.packbits(member, axis=1).view(np.uint64)
 
 
 def compare_task(rows: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
@@ -94,12 +96,10 @@ def compare_task(rows: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
     here = rows.column("leaf")[0].as_py()
     x = unit(np.array(rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rep), -1))
     lists = rows.column("leaves").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    padded = np.full((len(rep), int(sizes.max())), -1, np.int64)
-    padded[np.arange(padded.shape[1])[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+    earlier = _earlier(lists, here)
     block = rows.column("block").to_numpy()
     mixed = rows.column("mixed")[0].as_py()
-    count, ends = np.zeros(len(rep), np.int64), [np.zeros((2, 0), np.int64)]
+    count, ends = np.zeros(len(rep), np.int64), np.zeros((2, 0), np.int64)
     first = np.flatnonzero(block == block.min()) if mixed else np.arange(len(rep))
     other = np.flatnonzero(block != block.min()) if mixed else first
     for at in range(0, len(first), 1024):
@@ -110,15 +110,16 @@ def compare_task(rows: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), 1 << 16):
             p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            ok = _first_shared(padded[p], padded[q], here)
-            np.add.at(count, p[ok], weight[q[ok]])
-            np.add.at(count, q[ok], weight[p[ok]])
+            new = ~(earlier[p] & earlier[q]).any(axis=1)  # a pair counts in the first leaf that it shares
+            p, q = p[new], q[new]
+            np.add.at(count, p, weight[q])
+            np.add.at(count, q, weight[p])
             if len(p):
-                root = forest(len(rep), np.r_[ends[0][0], p], np.r_[ends[0][1], q])
+                root = forest(len(rep), np.r_[ends[0], p], np.r_[ends[1], q])
                 has = np.flatnonzero(root != np.arange(len(rep)))
-                ends = [np.stack([has, root[has]])]
+                ends = np.stack([has, root[has]])
     root = np.arange(len(rep))
-    root[ends[0][0]] = ends[0][1]
+    root[ends[0]] = ends[1]
     keep = (count > 0) | (root != np.arange(len(rep)))
     return pa.table({"rep": pa.array(rep[keep]), "links": pa.array(count[keep]), "root": pa.array(rep[root[keep]])})
 
