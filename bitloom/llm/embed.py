@@ -132,7 +132,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     sound = rows.where(F.coalesce(fine, F.lit(False)))
     # class number: a hash can't stand for a vector, so classes are numbered by their smallest id, null ids by none
     classes = settle(sound.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
-    dims = [r.d for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").limit(64).collect()]
+    dims = [r.d for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
     parts = []
     for d in dims:
         own = classes.where(F.size("embedding") == d)
