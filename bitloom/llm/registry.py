@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, embed, langid, media, packing, pii, quality, simhash, toxicity
+from . import chat, embed, langid, media, packing, pieces, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_langid": langid.op2_langid,
+    "op3_pieces": pieces.op3_pieces,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_chat": chat.op6_chat,
