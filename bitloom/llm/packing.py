@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import settle, slices, table
 
-CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 700_000, 1 << 20
+CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 500_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 #: Characters on which Python and the tokenizer might disagree whether they are white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
