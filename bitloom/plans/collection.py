@@ -57,7 +57,7 @@ class Collection:
             for n, x in enumerate(items):
                 x = {"text": x} if isinstance(x, str) else x
                 made.append((str(x.get("id") or whole) if item_id is None else whole, n, x.get("text", ""), encode(x.get("metadata"))))
-            rows = self.spark.createDataFrame(made, T.StructType().add("item_id", "string").add("n", "bigint").add("text", "string").add("metadata", META))
+            rows = self.spark.createDataFrame(made, T.StructType().add("item_id", "string").add("n", "long").add("text", "string").add("metadata", META))
         if metadata:
             rows = rows.withColumn("metadata", merge(F.col("metadata"), _map(metadata)))
         pieces = (char_chunks if fast else token_chunks)(F.col("text")) if need_chunks else F.array("text")
