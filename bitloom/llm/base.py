@@ -42,6 +42,12 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, tuple[str, ...], list[Column]]:
+    """`docs` with columns of these names renamed, so that an operator may add its own; its columns now; and how to select them as they were."""
+    other = {n: f"_own_{n}" for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(other), tuple(other.get(c, c) for c in docs.columns), [F.col(other.get(c, c)).alias(c) for c in docs.columns]
+
+
 def id_crc(col: str, mod: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as the empty string."""
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "utf-8")) % mod

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_settled, settle, table
+from .base import apart, drop_settled, settle, table
 from .components import components, forest
 
 BUDGET, WIDTH, SEED, CHUNK = 4, 4, 42, 1 << 15
@@ -184,14 +184,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component, with all columns: that of the smallest doc_id (of rows that repeat it, one)."""
     from pyspark.sql import Window as W
 
-    cols = tuple(docs.columns)
+    docs, cols, back = apart(docs, "fp", "_id", "_r")
     own = settle(fingerprints(docs, cols))
     # the smallest (doc_id, fp) of a component wins: narrow, and pre-aggregated before the shuffle
     win = own.select("doc_id", "fp").distinct().join(groups(own.select("doc_id", "fp")), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     win = win.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("_id"), "fp")
     kept = own.join(win, (own["fp"] == win["fp"]) & own["doc_id"].eqNullSafe(win["_id"]), "left_semi")
     once = W.partitionBy("doc_id", "fp").orderBy("text")
-    return kept.withColumn("_r", F.row_number().over(once)).where("_r = 1").select(*cols)
+    return kept.withColumn("_r", F.row_number().over(once)).where("_r = 1").select(*back)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
