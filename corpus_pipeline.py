@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import langid, packing, pii, simhash, toxicity
-from bitloom.llm.base import settle, table
+from bitloom.llm.base import apart, settle, table
 
 #: A document whose words hardly agree on any language is rejected below this share of posterior mass.
 LEAST_SHARE = 0.3
@@ -18,17 +18,16 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language."""
-    cols = tuple(docs.columns)
-    found = langid.identify(docs.select(*cols), cols)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*cols)
+    docs, cols, back = apart(docs, "lang_pred", "score", "n_words", "switches")
+    found = langid.identify(docs, cols)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*back)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not toxic."""
-    cols = tuple(docs.columns)
+    docs, cols, back = apart(docs, "score")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in cols else docs, model, tuple("_score" if c == "score" else c for c in cols))
-    return scored.where("score < 0.5").select(*[F.col("_score").alias(c) if c == "score" else F.col(c) for c in cols])
+    return toxicity.score(docs, model, cols).where("score < 0.5").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
