@@ -69,7 +69,8 @@ class Encoder:
 
         self.t, self.limit = Tokenizer.from_file(path), known
         self.model = self.t.model
-        letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        # lower-cased, for some capitals have their small letter far beyond
+        letters = sorted({low for c in range(0x250) if SIMPLE.fullmatch(chr(c)) for low in chr(c).lower()})
         # how the tokenizer spells a letter's bytes
         self.spell = str.maketrans({c: "".join(x for x, _ in self.t.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
         self.at, self.runs = _Known(), {}
