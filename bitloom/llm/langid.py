@@ -188,14 +188,16 @@ def _codes(text: str) -> np.ndarray:
 def fit(rows: list[tuple[str, str]], per_row: int = PER_ROW, lexicon: int = LEXICON, steps: int = STEPS, seed: int = 7) -> Model:
     """Adam on the chains' log-likelihood. rows: (text, label)."""
     rng = np.random.default_rng(seed)
-    model = Model(sorted({y for _, y in rows}))
-    k = len(model.labels)
-    spans: list[list[list[str]]] = [[] for _ in range(k)]
+    by_label: dict[str, list[list[str]]] = {}
     for text, y in rows:
         found = re.findall(r"[^\W\d_]+", text)
         places = np.linspace(0, max(0, len(found) - BLOCK), per_row).astype(int)
-        spans[model.labels.index(y)] += [found[p : p + BLOCK] for p in dict.fromkeys(places.tolist()) if found]
-    if k < 2 or not all(spans):
+        if found:
+            by_label.setdefault(y, []).extend(found[p : p + BLOCK] for p in dict.fromkeys(places.tolist()))
+    # a label whose rows hold no letter has nothing to learn from and isn't in the model
+    model = Model(sorted(by_label))
+    k, spans = len(model.labels), [by_label[y] for y in model.labels]
+    if k < 2:
         return model
     wholes = []
     for own in spans:
