@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import langid, packing, pii, simhash, toxicity
+from bitloom.llm import langid, packing, pii, shingles, toxicity
 from bitloom.llm.base import apart, settle, table
 
 #: A document whose words hardly agree on any language is rejected below this share of posterior mass.
@@ -31,8 +31,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each group that shares 0.8 or more of its 5-word shingles."""
+    return shingles.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

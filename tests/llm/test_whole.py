@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+
+import corpus_pipeline
 from bitloom.llm import langid, packing
+from bitloom.llm.components import forest
 
 
 def test_packing_spells_every_letter():
@@ -24,3 +28,40 @@ def test_langid_with_a_letterless_label(spark):
     assert [got[i].lang_pred for i in range(3)] == ["de", "en", "und"] and min(got[0].score, got[1].score) > 0.6
     only = langid.fit([("123", "aa"), ("4", "bb")], steps=1)
     assert only.labels == [] and {r.lang_pred for r in langid.predict(docs, only).collect()} == {"und"}
+
+
+def sets(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):  # each with a copy from 0.8 to 0.9, and one under 0.8
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        near, far = words.copy(), words.copy()
+        for p in (20, 70, 120):
+            near[p] = "other"
+        for p in range(10, 200, 15):
+            far[p] = "other"
+        texts += [" ".join(w) for w in (words, near, far)]
+    own = list(map(sets, texts))
+    assert all(0.8 <= jaccard(*own[i : i + 2]) < 0.9 and jaccard(own[i], own[i + 2]) < 0.7 for i in range(0, 120, 3))
+    # a chain: each step at 0.8 or more, its ends far apart; and texts of one word sequence
+    chain = [f"c{k}" for k in range(300)]
+    for step in range(6):
+        texts.append(" ".join(chain))
+        for p in (25 + 6 * step, 125 + 6 * step):
+            chain[p] = f"n{p}"
+    texts += ["few words", "Few  words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = list(map(sets, texts))
+    a, b = np.nonzero([[jaccard(x, y) >= 0.8 for y in own] for x in own])
+    want = sorted(set(forest(len(texts), a, b).tolist()))
+    got = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
