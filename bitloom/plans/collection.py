@@ -46,8 +46,8 @@ class Collection:
         rows = rows.join(old, "chunk_id", "left").withColumn("ordinal", F.coalesce("_o", "ordinal")).select(*COLUMNS)
         self.table = self.table.join(rows.select("chunk_id"), "chunk_id", "left_anti").select(*COLUMNS).unionByName(rows)
 
-    def add(self, data: Item | Sequence[Item] | DataFrame, metadata: Mapping[str, Any] | None = None, item_id: str | None = None, need_chunks: bool = False, fast: bool = True) -> list[tuple[str, int]]:
-        """Insert texts, dicts (text, metadata, id) or a DataFrame (text[, item_id, metadata]). One id a call unless an item brings its own. Returns (item_id, chunks)."""
+    def add(self, data: Item | Sequence[Item] | DataFrame, metadata: Mapping[str, Any] | None = None, item_id: str | None = None, need_chunks: bool = False, fast: bool = True) -> list[tuple[str, int]] | DataFrame:
+        """Insert texts, dicts (text, metadata, id) or a DataFrame (text[, item_id, metadata]). One id a call unless an item brings its own. Returns (item_id, chunks) of every item inserted: a list, or for a DataFrame a DataFrame."""
         whole = item_id or str(uuid.uuid4())
         if isinstance(data, DataFrame):
             rows = data.select(F.col("item_id") if "item_id" in data.columns else F.lit(whole).alias("item_id"), F.monotonically_increasing_id().alias("n"), F.col("text"), F.col("metadata") if "metadata" in data.columns else F.create_map().cast(META).alias("metadata"))
@@ -71,7 +71,10 @@ class Collection:
         ordinal = F.lit(base) + F.col("n") * (1 << 20) + F.col("k")
         each = each.select(F.concat_ws("_", "item_id", F.col("chunk_idx").cast("string")).alias("chunk_id"), "item_id", "chunk_idx", ordinal.alias("ordinal"), "text", "metadata", self.embedder.code(F.col("text")).alias("code"))
         self._insert(each)
-        return [(r.item_id, r.n) for r in each.groupBy("item_id").agg(F.count("*").alias("n"), F.min("ordinal").alias("o")).orderBy("o").limit(1000).collect()]
+        made_of = each.groupBy("item_id").agg(F.count("*").alias("chunks"), F.min("ordinal").alias("o"))
+        if isinstance(data, DataFrame):
+            return made_of.select("item_id", "chunks")
+        return [(r.item_id, r.chunks) for r in made_of.orderBy("o").collect()]  # as many as the caller's own items at most
 
     def set_batch(self, texts: Sequence[str], codes: Sequence[Sequence[int]], metadatas: Sequence[Mapping[str, Any]] | None = None) -> list[str]:
         """Rows with codes of their own and a new id each; saves."""

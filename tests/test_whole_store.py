@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bitloom.operators import search
+from bitloom.plans.collection import Collection
 
 
 def test_many_in_batches(spark, monkeypatch):
@@ -17,3 +18,11 @@ def test_many_in_batches(spark, monkeypatch):
     monkeypatch.setattr(search, "BATCH", 4)
     got = sorted(map(tuple, search.many(df, queries, distance, 3).select("qid", "rank", "ordinal", "score").collect()))
     assert joined[1:] == [4, 4, 3] and got == want
+
+
+def test_add_returns_every_item(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "wh"), "c")
+    assert store.add([{"text": "t", "id": str(i)} for i in range(1200)]) == [(str(i), 1) for i in range(1200)]
+    rows = spark.range(1500).select(F.concat(F.lit("d"), "id").alias("item_id"), F.lit("t").alias("text"))
+    made = store.add(rows)
+    assert made.columns == ["item_id", "chunks"] and made.count() == 1500 and store.count() == 2700
