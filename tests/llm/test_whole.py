@@ -21,12 +21,12 @@ def test_packing_spells_every_letter():
 
 def test_langid_with_a_letterless_label(spark):
     rows = [(f"der und die das nicht {w}", "de") for w in ("haus", "baum", "hund")] * 4 + [(f"the and of not {w}", "en") for w in ("house", "tree", "dog")] * 4
-    model = langid.fit([*rows, ("123 456", "aa")], steps=60)
+    model = langid.fit([(s, y) for t, y in [*rows, ("123 456", "aa")] for s in langid.spans_of(t) or [""]], steps=60)
     assert model.labels == ["de", "en"]
     docs = spark.createDataFrame([(0, "die und das"), (1, "the of and"), (2, "7 8 9")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert [got[i].lang_pred for i in range(3)] == ["de", "en", "und"] and min(got[0].score, got[1].score) > 0.6
-    only = langid.fit([("123", "aa"), ("4", "bb")], steps=1)
+    only = langid.fit([("", "aa"), ("", "bb")], steps=1)
     assert only.labels == [] and {r.lang_pred for r in langid.predict(docs, only).collect()} == {"und"}
 
 
