@@ -110,6 +110,40 @@ def test_marginals():
     assert np.allclose(got[:6], brute_marginals(m, score[:6])) and np.allclose(got[6:], brute_marginals(m, score[6:]))
 
 
+def test_gradients():
+    """The gradient of the chains' log-likelihood against finite differences of a brute-force one."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    text = "aa bb ca db ee fa gb"
+    m = langid.Model(["a", "b", "c"])
+    m.move, m.start, m.bias = rng.standard_normal((3, 3)), rng.standard_normal(3), rng.standard_normal(3)
+    m.emit[:] = 0.3 * rng.standard_normal(m.emit.shape)
+    codes = langid._codes(text)
+    f = langid.Features(codes, *langid.words(codes))
+    y, sizes = np.array([0, 2, 1, 1, 0, 2, 2]), np.array([4, 3])
+
+    def loss():
+        score, total = m.emissions(f), 0.0
+        for own, at in ((y[:4], 0), (y[4:], 4)):
+            e = score[at : at + len(own)]
+            value = lambda path: m.start[path[0]] + sum(e[i, c] for i, c in enumerate(path)) + sum(m.move[c, d] for c, d in zip(path, path[1:]))  # noqa: B023, E731
+            total -= value(own) - np.log(sum(np.exp(value(p)) for p in itertools.product(range(3), repeat=len(own))))
+        return total / len(y)
+
+    grads = langid.gradients(m, f, y, sizes)
+    for name in ("move", "start", "bias"):
+        weights = getattr(m, name)
+        for at in np.ndindex(weights.shape):
+            was = weights[at]
+            weights[at] = was + 1e-5
+            up = loss()
+            weights[at] = was - 1e-5
+            down = loss()
+            weights[at] = was
+            assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), (name, at)
+
+
 def test_langid(spark, docs, edge, nothing):
     model = langid.fit(langid.sample(docs), steps=150)
     rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -120,6 +154,24 @@ def test_langid(spark, docs, edge, nothing):
     assert {r.lang_pred for r in langid.identify(edge).collect()} == {"und"} and langid.identify(nothing).count() == 0
 
 
+def test_langid_odd_rows(spark):
+    """Free-standing digits of other kinds, other scripts, null and repeated ids, and a bound on the rows of all languages."""
+    odd = ["² ½ ³", "слово за словом", "語の 列 です", "x² ½y", "\ud83d\ude00 z"]
+    rows = [(i, f"der die das {w}", "de") for i, w in enumerate(("haus", "baum", "²", "½") * 6)] + [(100 + i, f"the of and {w}", "en") for i, w in enumerate(("house", "tree", "¼", "x²") * 6)]
+    rows += [(0, "zwei", "de"), (0, "drei", "de"), (None, "nirgends", "de"), (500, "12 ²", "zz"), (501, None, "en"), *((600 + i, t, None) for i, t in enumerate(odd))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    spans = langid.sample(docs)
+    assert {y for _, y in spans} == {"de", "en"} and not any("nirgends" in s for s, _ in spans)
+    assert len(langid.sample(docs, rows=9)) <= 9
+    model = langid.fit(spans, steps=40)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (500, 501, 600)} == {"und"}
+    assert all(0 <= r.score <= 1 for r in got)
+    text = " ".join(f"w{'abcdefgh'[i % 8]}" for i in range(1000))
+    spans = langid.spans_of(text)
+    assert len(spans) == langid.PER_ROW and all(s.count(" ") == langid.BLOCK - 1 for s in spans) and langid.spans_of("½ 7") == []
+
+
 # -- op 3
 
 
@@ -169,34 +221,86 @@ def test_viterbi(spark):
 # -- op 4
 
 
-def test_toxicity(spark, edge, nothing):
+def toxic_rows(n=600, every=4):
     rng = np.random.default_rng(3)
-    vocab = [f"w{i}" for i in range(300)]
-    rows, labels = [], []
-    for i in range(400):
+    vocab, rows = [f"w{i}" for i in range(300)], []
+    for i in range(n):
         words = rng.choice(vocab, 60).tolist()
-        if toxic := int(i % 4 == 0):
+        if i % every == 0:
             for w in rng.choice(["vile", "nasty", "rotten"], 4):
                 words.insert(int(rng.integers(60)), str(w))
-        rows.append((i, " ".join(words)))
-        labels.append((i, toxic))
-    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+        rows.append((i, " ".join(words), int(i % every == 0)))
+    return rows
+
+
+def brute_toxicity(rows, labels, wanted):
+    """Normalised differences of `wanted` texts by plain loops over dictionaries."""
+    words = {i: toxicity.tokens(t or "") for i, t in rows}
+    train = {y: [words[i] for i, t in labels if t == y and zlib.crc32(str(i).encode()) % 5 != 0] for y in (0, 1)}
+    df = {y: Counter(w for r in train[y] for w in set(r)) for y in (0, 1)}
+    least = {y: max(toxicity.LEAST, toxicity.SHARE * len(train[y])) for y in (0, 1)}
+    vocab = {w for y in (0, 1) for w, n in df[y].items() if n >= least[y]}
+    names = lambda r: [w if w in vocab else "<unk>" for w in r]
+    grams = {y: Counter(g for r in train[y] for g in set(zip(["<s>", *names(r)], names(r)))) for y in (0, 1)}
+    alone = {y: Counter(w for r in train[y] for w in set(names(r))) for y in (0, 1)}
+    kept = {g for y in (0, 1) for g, n in grams[y].items() if n >= least[y]}
+    every = Counter(w for r in words.values() for w in set(names(r)))
+    shared = {w: (every[w] + 0.5) for w in [*vocab, "<unk>"]}
+    total = sum(shared.values())
+    d = lambda c: (sum(n == 1 for n in c.values()) + 0.5) / (sum(n == 1 for n in c.values()) + 0.5 + 2 * (sum(n == 2 for n in c.values()) + 0.5))
+    d1, d2 = {y: d(df[y]) for y in (0, 1)}, {y: d(grams[y]) for y in (0, 1)}
+
+    def log(y, v, w):
+        size = sum(alone[y].values())
+        low = max(alone[y][w] - d1[y], 0) / size + sum(min(n, d1[y]) for n in alone[y].values()) / size * shared[w] / total
+        context = sum(n for g, n in grams[y].items() if g[0] == v)
+        if not context:
+            return np.log(low)
+        spare = context - sum(max(grams[y][g] - d2[y], 0) for g in kept if g[0] == v)
+        return np.log(((max(grams[y][v, w] - d2[y], 0) if (v, w) in kept else 0) + spare * low) / context)
+
+    out = {}
+    for i in wanted:
+        r = names(words[i])
+        out[i] = sum(log(1, v, w) - log(0, v, w) for v, w in zip(["<s>", *r], r)) / (len(r) + toxicity.DAMP)
+    return out
+
+
+def test_toxicity(spark, edge, nothing):
+    rows = toxic_rows()
+    docs, marks = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, marks)
+    want = brute_toxicity([r[:2] for r in rows], [(i, y) for i, _, y in rows], range(0, 600, 17))
+    assert np.allclose(model.differences([rows[i][1] for i in want]), list(want.values()), atol=1e-9)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
-    held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(s >= 0.5) == (y == 1) for s, y in held]) > 0.95
+    keep, toxicity.BROADCAST_ROWS = toxicity.BROADCAST_ROWS, 0  # labels joined by a shuffle give the same model
+    try:
+        other = toxicity.fit(docs, marks)
+    finally:
+        toxicity.BROADCAST_ROWS = keep
+    assert other.vocab == model.vocab and np.allclose(other.curve, model.curve) and np.array_equal(other.sides[1].counts, model.sides[1].counts)
     odd = {r.doc_id: r.score for r in toxicity.score(edge.drop("score"), model).collect()}
     assert all(0 <= s <= 1 for s in odd.values()) and odd[4] == odd[5] and odd[0] == odd[1]
     assert max(r.score for r in toxicity.score(edge.drop("score"), toxicity.fit(edge, marks.limit(0))).collect()) < 1e-6
-    assert toxicity.score(nothing.drop("score"), model).count() == 0
+    assert toxicity.score(nothing.drop("score"), model).count() == 0 and not toxicity.fit(nothing, marks).sides
+    # a label without an id, a row without one, an id twice, labels that differ
+    more = docs.unionByName(spark.createDataFrame([(None, "vile rotten"), (3, "again"), (5, None)], docs.schema))
+    twice = marks.unionByName(spark.createDataFrame([(None, 1), (1, 1), (2, None)], marks.schema))
+    assert toxicity.score(more, toxicity.fit(more, twice)).count() == len(rows) + 3
 
 
 def test_kneser_ney_sums_to_one():
-    c = toxicity.Class([np.array([2, 3, 2, 4, 2, 3, 4, 4, 2, 3])] * 2 + [np.array([4, 3, 2, 2, 3, 3, 4, 2])], 5, 1)
-    shared = np.array([0.1, 0.1, 0.3, 0.25, 0.25])
-    for left in range(5):
-        p = np.exp(c.log(np.full(5, left), np.arange(5), shared, np.ones(5, bool)))
-        assert p.sum() == pytest.approx(1, abs=1e-3)
+    rng = np.random.default_rng(1)
+    size = 6
+    grams = rng.integers(0, 9, (size, size))
+    grams[:, 0] = 0
+    keys = np.flatnonzero(grams.ravel() >= 4)  # the others are pruned
+    shared = np.r_[0, rng.random(size - 1)]
+    c = toxicity.Class(np.r_[0, rng.integers(0, 9, size - 1)], grams.sum(axis=1), keys, grams.ravel()[keys], 0.7, 0.6, shared / shared.sum())
+    for left in range(size):
+        assert np.exp(c.log(np.full(size - 1, left), np.arange(1, size))).sum() == pytest.approx(1)
 
 
 # -- op 5
