@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: a lambda's variable is computed before the body, however often that names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def l2_normalize(v: Column) -> Column:
     """v over its Euclidean length, which counts as 1e-12 at least."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return let(F.greatest(norm, F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def truncate(v: Column, n: int) -> Column:
@@ -25,10 +31,14 @@ def sign_bits(v: Column) -> Column:
 
 def pack_bytes(bits: Column) -> Column:
     """Unsigned bytes, most significant bit first, the last byte padded with zeros."""
-    bit = lambda k: F.coalesce(F.get(bits, k), F.lit(0))
-    byte = lambda j: sum((F.shiftleft(bit(j * 8 + i), 7 - i) for i in range(1, 8)), F.shiftleft(bit(j * 8), 7))
-    n = F.ceil(F.size(bits) / 8).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).otherwise(F.array().cast("array<int>"))
+
+    def pack(b: Column) -> Column:
+        bit = lambda k: F.coalesce(F.get(b, k), F.lit(0))
+        byte = lambda j: sum((F.shiftleft(bit(j * 8 + i), 7 - i) for i in range(1, 8)), F.shiftleft(bit(j * 8), 7))
+        n = F.ceil(F.size(b) / 8).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).otherwise(F.array().cast("array<int>"))
+
+    return let(bits, pack)
 
 
 def code(v: Column, n: int | None = None) -> Column:
@@ -54,3 +64,28 @@ def word_values(code_: list[int]) -> list[int]:
         part = bytes(code_[j : j + 8]).ljust(8, b"\0")
         out.append(int.from_bytes(part, "big", signed=True))
     return out
+
+
+def packed(code_: Column, n: int) -> Column:
+    """A code of at most `n` words as an array of 8-byte words, the last one padded with zeros; null if it is longer or holds what is no byte."""
+    word = lambda j: sum((F.shiftleft(F.coalesce(F.get(code_, F.lit(8 * j + i)), F.lit(0)).cast("bigint"), 56 - 8 * i) for i in range(1, 8)), F.shiftleft(F.coalesce(F.get(code_, F.lit(8 * j)), F.lit(0)).cast("bigint"), 56))
+    fits = (F.size(code_) <= 8 * n) & F.forall(code_, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+    return F.when(fits, F.slice(F.array(*[word(j) for j in range(n)]), F.lit(1), F.ceil(F.size(code_) / 8).cast("int")))
+
+
+def code_bytes(numbers: Column) -> Column:
+    """Codes from outside as integers: numbers are cut toward zero, and codes of bytes less 128 (some number below zero, none outside -128 to 127) are put back to 0 to 255."""
+    whole = F.transform(numbers, lambda x: x.cast("int"))
+    shifted = F.exists(whole, lambda x: x < 0) & F.forall(whole, lambda x: x.between(-128, 127))
+    return F.when(shifted, F.transform(whole, lambda x: x + 128)).otherwise(whole)
+
+
+def recentred(code_: Column) -> Column:
+    """Bytes less 128, as containers store them; XOR distances don't change."""
+    return F.transform(code_, lambda x: x - 128)
+
+
+def quantize(v: Column, n: int | None = None) -> Column:
+    """Normalise, truncate to `n` dimensions, take signs, pack."""
+    unit = l2_normalize(v)
+    return pack_bytes(sign_bits(truncate(unit, n) if n else unit))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -17,7 +17,7 @@ def canonical(value: Any) -> str | None:
     def plain(x: Any) -> Any:
         if isinstance(x, bool):
             return int(x)
-        if isinstance(x, float) and x.is_integer():
+        if isinstance(x, float) and x.is_integer() and abs(x) < 1e37:
             return int(x)
         if isinstance(x, Mapping):
             return {str(k): plain(v) for k, v in x.items()}
@@ -26,9 +26,13 @@ def canonical(value: Any) -> str | None:
     return None if value is None else json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
 
 
-def encode(metadata: Mapping[str, Any] | None) -> dict[str, str | None]:
-    """The stored form: each value's own JSON, which keeps true apart from 1 on read-back."""
-    return {str(k): None if v is None else json.dumps(v, sort_keys=True, ensure_ascii=False) for k, v in (metadata or {}).items()}
+def own_json(value: Any) -> str | None:
+    return None if value is None else json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+
+def encode(metadata: Mapping[str, Any] | None, form: Callable[[Any], str | None] = own_json) -> dict[str, str | None]:
+    """The stored form: each value's own JSON, which keeps true apart from 1 on read-back; with `canonical`, the form that is compared."""
+    return {str(k): form(v) for k, v in (metadata or {}).items()}
 
 
 def decode(stored: Mapping[str, str | None] | None) -> dict[str, Any]:
@@ -36,14 +40,16 @@ def decode(stored: Mapping[str, str | None] | None) -> dict[str, Any]:
 
 
 def canonical_column(v: Column) -> Column:
-    """Canonical form of a stored scalar; lists and objects are stored in it already but for numbers inside them."""
+    """Canonical form of a stored value: booleans and integral numbers, also with an exponent, are ints. Lists and objects stay as they are."""
     whole = F.regexp_extract(v, r"^(-?[0-9]+)(?:\.0+)?$", 1)
-    return F.when(v == "true", "1").when(v == "false", "0").when(whole != "", F.when(whole == "-0", "0").otherwise(whole)).otherwise(v)
+    number = F.when(v.rlike(r"^-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)$"), v.cast("double"))
+    integral = F.when((number == F.floor(number)) & (F.abs(number) < 1e37), F.format_string("%.0f", number))
+    return F.when(v == "true", "1").when(v == "false", "0").when(whole != "", F.when(whole == "-0", "0").otherwise(whole)).otherwise(F.coalesce(integral, v))
 
 
-def matches(metadata: Column, where: Mapping[str, Any] | None) -> Column:
-    """All keys equal; a missing key is null, so a wanted None matches rows without the key; nothing wanted matches all."""
-    terms = [canonical_column(F.try_element_at(metadata, F.lit(k))).eqNullSafe(F.lit(canonical(v))) for k, v in (where or {}).items()]
+def matches(canon: Column, where: Mapping[str, Any] | None) -> Column:
+    """All keys equal in canonical form; a missing key is null, so a wanted None matches rows without the key; nothing wanted matches all."""
+    terms = [canonical_column(F.try_element_at(canon, F.lit(k))).eqNullSafe(F.lit(canonical(v))) for k, v in (where or {}).items()]
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import pack_bytes, sign_bits
+from ..functions.bits import let, pack_bytes, sign_bits
 
 DIMENSIONS = 64
 
@@ -29,13 +29,15 @@ class HashEmbedder:
         self.dimensions, self.prompt = dimensions, prompt
 
     def dense(self, text: Column) -> Column:
-        """Sums of signs by dimension."""
+        """Sums of signs by dimension: a word becomes a character for its dimension and sign, and a text's characters are counted natively."""
         n = self.dimensions
+        alphabet = F.lit("".join(chr(1 + i) for i in range(2 * n)))
         words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
-        signs = F.transform(words, lambda w: F.md5(F.encode(w, "utf-8")))
-        places = F.transform(signs, lambda h: F.struct((number(h) % n).cast("int").alias("d"), F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1).alias("s")))
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.aggregate(F.filter(places, lambda p: p["d"] == d), F.lit(0), lambda a, p: a + p["s"]))
+        place = lambda h: F.substring(alphabet, ((number(h) % n) * 2 + F.when(F.substring(h, 9, 1) < "8", 1).otherwise(2)).cast("int"), F.lit(1))
+        signs = F.array_join(F.transform(words, lambda w: let(F.md5(F.encode(w, "utf-8")), place)), "")
+        times = lambda s, i: F.length(s) - F.length(F.replace(s, F.substring(alphabet, i, F.lit(1)), F.lit("")))
+        return let(signs, lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: times(s, 2 * d + 1) - times(s, 2 * d + 2)))
 
     def code(self, text: Column) -> Column:
         return pack_bytes(sign_bits(self.dense(text)))

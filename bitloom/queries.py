@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import Window as W
 
 from .functions import bits, distance, metadata, text
 from .operators import embedding, search
-from .plans.collection import regroup
+from .operators.index import CodeIndex
+from .plans.collection import Collection, regroup
+from .shared import shared_dir
+from .sources import ctx, readers
 from .sources.readers import pages_text, rows_as_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +37,24 @@ def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def _store(spark: SparkSession, kind: str = "store") -> Collection:
+    """An empty collection of its own in the shared folder."""
+    return Collection(spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", "c")
+
+
+def _talks(spark: SparkSession, d: str) -> Collection:
+    """A collection of the conversations: an item is a conversation, a chunk a turn."""
+    c = _store(spark)
+    rows = table(spark, d, "conversations", "conv_id", "turn", "text", "role")
+    c.add(rows.select(F.col("conv_id").alias("item_id"), "turn", "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata")), order="turn")
+    c.save()
+    return c
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("item_id").cast("bigint").alias("conv_id"), F.col("chunk_idx").cast("bigint").alias("turn"), "text")
+
+
 def _codes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """vec_id, code, packed word, further columns."""
     df = table(spark, d, "embeddings", "vec_id", "embedding", *more).select("vec_id", *more, bits.code(F.col("embedding")).alias("code"))
@@ -40,7 +62,20 @@ def _codes(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def _query_code(codes: DataFrame, vec_id: int = 0) -> list[int]:
-    return codes.where(F.col("vec_id") == vec_id).select("code").first().code
+    """The code of a row. None has that id: zeros, which nothing is compared with then (see _near)."""
+    found = codes.where(F.col("vec_id") == vec_id).select("code").first()
+    return found.code if found else []
+
+
+def _near(codes: DataFrame, metric: str = "xor_sum") -> tuple[DataFrame, Column]:
+    """The rows that the query, vec_id 0, is compared with, and their distance; no rows without it."""
+    q = _query_code(codes)
+    return (codes, search.distance_to(q, metric, words=[F.col("w0")])) if q else (codes.limit(0), F.lit(0).cast("bigint"))
+
+
+def _beside(rows: DataFrame, query: list) -> tuple[DataFrame, Column]:
+    """Rows and a driver-side query as an array; no rows without one."""
+    return (rows, F.array(*map(F.lit, query))) if query else (rows.limit(0), F.array(F.lit(0)))
 
 
 def _pack_sql(source: str = "embedding", n: int = 64) -> str:
@@ -72,27 +107,26 @@ def l2_normalize(spark, d):
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 5")
 def topk_xor_sum(spark, d):
-    codes = _codes(spark, d)
-    return search.top_k(codes, search.distance_to(codes, _query_code(codes)), 5, "vec_id").select("vec_id", "score")
+    return search.top_k(*_near(_codes(spark, d)), 5, "vec_id").select("vec_id", "score")
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, {HAMMING_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 5")
 def topk_hamming_bits(spark, d):
-    codes = _codes(spark, d)
-    return search.top_k(codes, search.distance_to(codes, _query_code(codes), "hamming"), 5, "vec_id").select("vec_id", "score")
+    return search.top_k(*_near(_codes(spark, d), "hamming"), 5, "vec_id").select("vec_id", "score")
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, {MISMATCH_SQL} AS mismatches, round(1 - {MISMATCH_SQL} / 8.0::DOUBLE, 6) AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score DESC, a.vec_id LIMIT 5")
 def topk_byte_mismatch(spark, d):
     codes = _codes(spark, d)
-    q = F.array(*[F.lit(x) for x in _query_code(codes)])
+    codes, q = _beside(codes, _query_code(codes))
     return search.top_k(codes, F.round(distance.mismatch_similarity(F.col("code"), q), 6), 5, "vec_id", descending=True).select("vec_id", distance.byte_mismatch(F.col("code"), q).alias("mismatches"), "score")
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, round(1 - {MISMATCH_SQL} / 64.0::DOUBLE, 6) AS score FROM c a, c b WHERE b.vec_id = 0")
 def bit_scaled_score(spark, d):
     codes = _codes(spark, d)
-    return codes.select("vec_id", F.round(distance.bit_scaled_score(F.col("code"), F.array(*[F.lit(x) for x in _query_code(codes)])), 6).alias("score"))
+    codes, q = _beside(codes, _query_code(codes))
+    return codes.select("vec_id", F.round(distance.bit_scaled_score(F.col("code"), q), 6).alias("score"))
 
 
 COSINE_SQL = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
@@ -101,8 +135,9 @@ COSINE_SQL = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b
 @query(f"SELECT a.vec_id, {COSINE_SQL} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY score DESC, a.vec_id LIMIT 10")
 def topk_cosine(spark, d):
     df = table(spark, d, "embeddings", "vec_id", "embedding")
-    q = df.where("vec_id = 0").first().embedding
-    return search.top_k(df, F.round(distance.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6), 10, "vec_id", descending=True).select("vec_id", "score")
+    found = df.where("vec_id = 0").first()
+    df, q = _beside(df, [float(x) for x in found.embedding] if found else [])
+    return search.top_k(df, F.round(distance.cosine(F.col("embedding"), q), 6), 10, "vec_id", descending=True).select("vec_id", "score")
 
 
 @query(f"SELECT b.vec_id AS qid, a.vec_id, {COSINE_SQL} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
@@ -115,23 +150,22 @@ def cosine_pairs(spark, d):
 
 @query(f"WITH {CODES_SQL}, k AS (SELECT a.vec_id, a.label, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 20) SELECT vec_id, score FROM k WHERE label = 2 ORDER BY score, vec_id LIMIT 5")
 def retrieve_post_filter(spark, d):
-    codes = _codes(spark, d, "label")
-    return search.filtered_top_k(codes, search.distance_to(codes, _query_code(codes)), 5, F.col("label") == 2, tie="vec_id").select("vec_id", "score")
+    return search.filtered_top_k(*_near(_codes(spark, d, "label")), 5, F.col("label") == 2, tie="vec_id").select("vec_id", "score")
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 AND a.label = 2 ORDER BY score, a.vec_id LIMIT 5")
 def retrieve_pre_filter(spark, d):
-    codes = _codes(spark, d, "label")
-    return search.filtered_top_k(codes, search.distance_to(codes, _query_code(codes)), 5, F.col("label") == 2, mode="pre", tie="vec_id").select("vec_id", "score")
+    return search.filtered_top_k(*_near(_codes(spark, d, "label")), 5, F.col("label") == 2, mode="pre", tie="vec_id").select("vec_id", "score")
 
 
 def _many(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows."""
     codes = _codes(spark, d)
-    queries = codes.where(F.col("vec_id").isin(0, 1, 2, 3)).select(F.col("vec_id").alias("qid"), F.col("w0").alias("q0"))
+    queries = codes.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("w0").alias("q0"))
     return search.many(codes, queries, distance.packed_xor_sum([F.col("w0")], [F.col("q0")]), 5, "vec_id")
 
 
-MANY_SQL = f"""WITH {CODES_SQL}, s AS (SELECT b.vec_id AS qid, a.vec_id, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id IN (0, 1, 2, 3)),
+MANY_SQL = f"""WITH {CODES_SQL}, s AS (SELECT b.vec_id AS qid, a.vec_id, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, vec_id) AS rank FROM s)"""
 
 
@@ -223,26 +257,25 @@ def hash_embed(spark, d):
 
 @query(f"WITH {HASH_SQL} SELECT a.doc_id, {XOR_SQL} AS score FROM c a, c b WHERE b.doc_id = 0 ORDER BY score, a.doc_id LIMIT 5")
 def retrieve_text(spark, d):
-    own = embedding.HashEmbedder()
     docs = table(spark, d, "documents", "doc_id", "text")
-    q = docs.where("doc_id = 0").select(own.code(F.col("text")).alias("c")).first().c
-    codes = own.codes(docs, "doc_id").select("doc_id", *bits.words(F.col("code"), WIDTH))
-    return search.top_k(codes, search.distance_to(codes, q), 5, "doc_id").select("doc_id", "score")
+    c = _store(spark)
+    c.add(docs.select(F.col("doc_id").alias("item_id"), "text"))
+    q = docs.where("doc_id = 0").first()
+    hits = c.search(q.text if q else "", 5)
+    return hits.select(F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("bigint").alias("doc_id"), "score")
 
 
 @query("""SELECT CAST(p - 1 AS INTEGER) AS pos, CAST(i AS BIGINT) AS item_id, string_agg(text, ' ' ORDER BY turn) AS text FROM
     (SELECT unnest([3, 1, 3, 999999]) AS i, generate_subscripts([3, 1, 3, 999999], 1) AS p) JOIN conversations ON conv_id = i GROUP BY p, i""")
 def get_by_ids(spark, d):
     """In the order of the ids, repeats repeated, unknown ids left out."""
-    ids = spark.createDataFrame(list(enumerate([3, 1, 3, 999999])), "pos int, item_id bigint")
-    rows = table(spark, d, "conversations", "conv_id", "turn", "text").join(F.broadcast(ids), F.col("conv_id") == F.col("item_id"))
-    return regroup(rows, ["pos", "item_id"], order="turn")
+    got = _talks(spark, d).items(["3", "1", "3", "999999"]).coalesce(1)
+    return got.select(F.monotonically_increasing_id().cast("int").alias("pos"), F.col("item_id").cast("bigint").alias("item_id"), "text")
 
 
 @query("SELECT conv_id || '_' || turn AS chunk_id, text FROM conversations WHERE starts_with(conv_id || '_' || turn, '1_')")
 def get_prefix(spark, d):
-    rows = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), "text")
-    return rows.where(F.col("chunk_id").startswith("1_"))
+    return _talks(spark, d).chunks("1", prefix=True).select("chunk_id", "text")
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -276,34 +309,41 @@ def metadata_merge(spark, d):
 
 @query("SELECT count(*) AS chunks FROM documents")
 def count_chunks(spark, d):
-    return table(spark, d, "documents", "doc_id").agg(F.count("*").alias("chunks"))
+    c = _store(spark)
+    c.add(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("item_id"), "text"))
+    return spark.createDataFrame([(c.count(),)], "chunks bigint")
 
 
-def _ids(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1,), (3,), (999999,)], "conv_id bigint")
+GONE = ["1", "3", "999999"]
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE conv_id NOT IN (1, 3, 999999)")
 def delete_ids(spark, d):
-    return table(spark, d, "conversations", "conv_id", "turn", "text").join(F.broadcast(_ids(spark)), "conv_id", "left_anti")
+    c = _talks(spark, d)
+    c.delete(GONE)
+    return _turns(Collection(spark, c.catalog.root, c.name).table)
 
 
 @query("SELECT count(*) AS deleted FROM conversations WHERE conv_id IN (1, 3, 999999)")
 def deleted_count(spark, d):
-    return table(spark, d, "conversations", "conv_id").join(F.broadcast(_ids(spark)), "conv_id", "left_semi").agg(F.count("*").alias("deleted"))
+    return spark.createDataFrame([(_talks(spark, d).delete(GONE),)], "deleted bigint")
 
 
 @query("SELECT conv_id, turn, CASE WHEN conv_id = 3 THEN 'updated' ELSE text END AS text FROM conversations")
 def update_items(spark, d):
-    return table(spark, d, "conversations", "conv_id", "turn", "text").withColumn("text", F.when(F.col("conv_id") == 3, "updated").otherwise(F.col("text")))
+    c = _talks(spark, d)
+    c.update("3", text="updated")
+    return _turns(Collection(spark, c.catalog.root, c.name).table)
 
 
-@query("""SELECT conv_id, turn, text FROM conversations WHERE NOT (conv_id = 1 AND turn = 0)
-    UNION ALL SELECT 1, 0, 'replaced' UNION ALL SELECT 999999, 0, 'inserted'""")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id = 1 THEN 'replaced' ELSE text END AS text FROM conversations
+    UNION ALL SELECT 999999, 0, 'inserted'""")
 def upsert_items(spark, d):
-    old = table(spark, d, "conversations", "conv_id", "turn", "text")
-    new = spark.createDataFrame([(1, 0, "replaced"), (999999, 0, "inserted")], "conv_id bigint, turn bigint, text string")
-    return old.join(F.broadcast(new), ["conv_id", "turn"], "left_anti").unionByName(new)
+    """An item that is there is updated, one that isn't is added."""
+    c = _talks(spark, d)
+    c.set("1", text="replaced")
+    c.set("999999", text="inserted")
+    return _turns(Collection(spark, c.catalog.root, c.name).table)
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY event_type")
@@ -316,20 +356,225 @@ def prompt_prefix(spark, d):
     return table(spark, d, "benchmark", "item_id", "text").select("item_id", text.prompted(F.col("text")).alias("query"))
 
 
-@query("SELECT 'documents' AS collection, count(*) AS count, 'hash' AS model FROM documents")
+@query("SELECT 'c' AS collection, count(*) AS count, count(DISTINCT conv_id) AS items, 'HashEmbedder' AS model FROM conversations")
 def collection_info(spark, d):
-    return table(spark, d, "documents", "doc_id").agg(F.count("*").alias("count")).select(F.lit("documents").alias("collection"), "count", F.lit("hash").alias("model"))
+    c = _talks(spark, d)
+    return c.info()
 
 
 @query("SELECT conv_id || '_' || turn AS chunk_id, text, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations ORDER BY conv_id, turn LIMIT 20")
 def insertion_order_head(spark, d):
-    rows = table(spark, d, "conversations", "conv_id", "turn", "text").orderBy("conv_id", "turn").limit(20)
-    return rows.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"), "text", F.row_number().over(W.orderBy("conv_id", "turn")).cast("bigint").alias("n"))
+    rows = _talks(spark, d).dump().limit(20).select("chunk_id", "text", "ordinal")
+    return rows.select("chunk_id", "text", F.row_number().over(W.orderBy("ordinal")).cast("bigint").alias("n"))
 
 
-@query("SELECT vec_id, embedding AS vector FROM embeddings WHERE vec_id = 0")
+@query("SELECT label, vec_id, embedding AS vector FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1")
 def cls_pool(spark, d):
-    return embedding.cls_pool(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "vec_id").withColumnRenamed("embedding", "vector")
+    """The vectors of a label are the tokens of a text; their rank by id is the position."""
+    rows = table(spark, d, "embeddings", "label", "vec_id", "embedding")
+    tokens = rows.withColumn("position", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
+    return embedding.pool(tokens.withColumn("embedding", F.struct("vec_id", "embedding")), "label", "cls").select("label", "embedding.vec_id", F.col("embedding.embedding").alias("vector"))
+
+
+@query("""SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM
+    (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY ALL""")
+def masked_mean_pool(spark, d):
+    """Masked tokens don't count."""
+    rows = table(spark, d, "embeddings", "label", "vec_id", "embedding").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    return embedding.pool(rows, "label", "mean", mask="mask").select("label", "dim", F.round("x", 6).alias("mean"))
+
+
+@query(f"SELECT vec_id, list_transform(code, lambda x: x - 128) AS code FROM (SELECT vec_id, {_pack_sql()} AS code FROM embeddings)")
+def recentred_codes(spark, d):
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", bits.recentred(bits.code(F.col("embedding"))).alias("code"))
+
+
+@query(f"SELECT vec_id, {_pack_sql(n=32)} AS code FROM embeddings")
+def quantize_codes(spark, d):
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", bits.quantize(F.col("embedding"), 32).alias("code"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 100) AS INTEGER)) AS cut FROM embeddings")
+def truncated_integers(spark, d):
+    """Numbers from outside are cut toward zero; codes of them are searched as they are."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 100)
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(scaled, lambda x: x.cast("int")).alias("cut"))
+
+
+@query(f"WITH {CODES_SQL} SELECT 'v' || a.vec_id AS text, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 10")
+def set_batch_search(spark, d):
+    """Vectors loaded in bulk, found again by a code."""
+    c, rows = _store(spark), table(spark, d, "embeddings", "vec_id", "embedding").orderBy("vec_id")
+    c.set_batch(rows.select(F.concat(F.lit("v"), "vec_id").alias("text"), F.col("embedding").alias("vector")))
+    q = rows.where("vec_id = 0").select(bits.code(F.col("embedding")).alias("c")).first()
+    return c.search(q.c if q else [0] * WIDTH, 10).select("text", "score")
+
+
+@query(f"WITH {CODES_SQL}, n AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN code ELSE code[1:4] END AS code FROM c) SELECT 'v' || a.vec_id AS text, {XOR_SQL} AS score FROM n a, c b WHERE b.vec_id = 0 AND len(a.code) = 8 ORDER BY score, a.vec_id LIMIT 10")
+def width_filter(spark, d):
+    """Codes of another width than the query's aren't compared."""
+    c, rows = _store(spark), table(spark, d, "embeddings", "vec_id", "embedding").orderBy("vec_id").select("vec_id", bits.code(F.col("embedding")).alias("code"))
+    c.set_batch(rows.select(F.concat(F.lit("v"), "vec_id").alias("text"), F.when(F.col("vec_id") % 2 == 0, F.col("code")).otherwise(F.slice("code", 1, 4)).alias("code")))
+    q = rows.where("vec_id = 0").first()
+    return c.search(q.code if q else [0] * WIDTH, 10).select("text", "score")
+
+
+@query("SELECT conv_id AS item_id, text, role FROM conversations WHERE role = 'user'")
+def collection_where(spark, d):
+    """Chunks by metadata, through the store."""
+    got = _talks(spark, d).items(where={"role": "user"})
+    return got.select(F.col("item_id").cast("bigint").alias("item_id"), "text", F.regexp_replace("metadata.role", '"', "").alias("role"))
+
+
+@query("SELECT string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE conv_id = 3 GROUP BY conv_id")
+def get_one_id(spark, d):
+    """An id alone is a list of one."""
+    return _talks(spark, d).items("3").select("text")
+
+
+@query("SELECT count(*) - count(*) AS chunks FROM conversations")
+def clear_collection(spark, d):
+    c = _talks(spark, d)
+    c.clear()
+    return spark.createDataFrame([(Collection(spark, c.catalog.root, c.name).count(),)], "chunks bigint")
+
+
+@query("SELECT conv_id || '_' || turn AS chunk_id, conv_id AS item_id, turn AS chunk_idx, text, role FROM conversations")
+def save_and_open(spark, d):
+    """A collection that was added to in two steps, saved, and opened again."""
+    c, rows = _store(spark), table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    data = rows.select(F.col("conv_id").alias("item_id"), "turn", "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata"))
+    for rest in (0, 1):
+        c.add(data.where(F.col("item_id") % 2 == rest), order="turn")
+        c.save()
+    again = Collection(spark, c.catalog.root, c.name).dump()
+    return again.select("chunk_id", F.col("item_id").cast("bigint").alias("item_id"), F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "text", F.regexp_replace("metadata.role", '"', "").alias("role"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) || '_' || i AS chunk_id, substring(text, i * 2048 + 1, 2048) AS text FROM
+    (SELECT doc_id, text, unnest(range((length(text) + 2047) // 2048)) AS i FROM documents)""")
+def add_chunked(spark, d):
+    c = _store(spark)
+    c.add(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("item_id"), "text"), need_chunks=True)
+    return c.table.select("chunk_id", "text")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, {TOKENS_SQL} AS t FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) || '_' || i AS chunk_id, CASE WHEN len(t) <= 512 THEN text ELSE array_to_string(t[i * 512 + 1 : i * 512 + 512], '') END AS text
+    FROM (SELECT doc_id, text, t, unnest(range(greatest(1, (len(t) + 511) // 512))) AS i FROM t)""")
+def add_token_chunked(spark, d):
+    c = _store(spark)
+    c.add(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("item_id"), "text"), need_chunks=True, fast=False)
+    return c.table.select("chunk_id", "text")
+
+
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS INTEGER) AS chunk_idx, substring(text, i * 200 + 1, 200) AS text FROM
+    (SELECT conv_id, turn, text, unnest(range((length(text) + 199) // 200)) AS i FROM conversations)""")
+def chunk_lists(spark, d):
+    """A list of texts is cut text by text, in order."""
+    rows = table(spark, d, "conversations", "conv_id", "turn", "text")
+    lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    return text.explode_chunks(lists, text.list_chunks(F.col("texts"), lambda t: text.char_chunks(t, 200)), ["conv_id"])
+
+
+@query(rf"SELECT item_id, array_to_string(list_transform({TOKENS_SQL}, lambda x, i: chr(27) || '[' || (41 + (i - 1) % 7) || 'm' || x), '') || chr(27) || '[0m' AS coloured FROM benchmark")
+def coloured_tokens(spark, d):
+    return table(spark, d, "benchmark", "item_id", "text").select("item_id", text.colour_tokens(text.tokens(F.col("text"))).alias("coloured"))
+
+
+@query("SELECT range AS id, 512 AS tokens FROM range(50)")
+def random_texts(spark, d):
+    """Random texts of a wanted number of tokens."""
+    return text.random_text(spark, 512, 50).select("id", text.token_count(F.col("text")).alias("tokens"))
+
+
+@query("SELECT conv_id || '_' || turn AS chunk_id, text, role, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS ordinal FROM conversations")
+def ctx_round_trip(spark, d):
+    """A collection written as one CTX file and read back."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.ctx"
+    rows = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    code = F.concat(embedding.HashEmbedder().code(F.col("text")), F.array_repeat(F.lit(0), 56))
+    n = F.row_number().over(W.orderBy("conv_id", "turn")) - 1
+    out = rows.select(n.cast("bigint").alias("ordinal"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata"), code.alias("code"), F.lit(None).cast("array<float>").alias("embedding"))
+    ctx.write_ctx(out, path)
+    return ctx.read_ctx(spark, path).select("chunk_id", "text", F.regexp_replace("metadata.role", '"', "").alias("role"), "ordinal")
+
+
+@query("SELECT 'hash' AS embedding_model, 64 AS embedding_size, 'float32' AS embedding_dtype, 100 AS context_length")
+def ctx_header(spark, d):
+    """The header that a writer's options make."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.ctx"
+    ctx.write_ctx(spark.createDataFrame([], ctx.SCHEMA), path, context_length="100")
+    head = ctx.read_header(path)
+    return spark.createDataFrame([(head["embedding_model"], head["embedding_size"], head["embedding_dtype"], head["context_length"])], "embedding_model string, embedding_size int, embedding_dtype string, context_length int")
+
+
+def _files(spark: SparkSession, d: str, kind: str) -> str:
+    """The benchmark's texts as files of one kind in a folder of the shared one; the folder."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, d, "benchmark", "item_id", "text").collect()  # a table of stated queries
+    readers.write_files(folder, {f"{r.item_id}.{kind}": readers.as_docx(r.text) if kind == "docx" else r.text.encode() for r in rows})
+    return folder
+
+
+def _item_of_path() -> Column:
+    return F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint").alias("item_id")
+
+
+@query(rf"""WITH t AS (SELECT item_id, text, {TOKENS_SQL} AS t FROM benchmark)
+    SELECT item_id, CAST(i AS INTEGER) AS chunk_idx, CASE WHEN len(t) <= 64 THEN text ELSE array_to_string(t[i * 64 + 1 : i * 64 + 64], '') END AS text
+    FROM (SELECT item_id, text, t, unnest(range(greatest(1, (len(t) + 63) // 64))) AS i FROM t)""")
+def text_files(spark, d):
+    """Text files, chosen by their extension, in chunks of tokens."""
+    return readers.read_file(spark, f"{_files(spark, d, 'txt')}/*.txt", 64).select(_item_of_path(), "chunk_idx", "text")
+
+
+@query("SELECT item_id, text FROM benchmark")
+def docx_files(spark, d):
+    return readers.read_docx(spark, f"{_files(spark, d, 'docx')}/*.docx").select(_item_of_path(), "text")
+
+
+@query("SELECT item_id, CAST(i AS INTEGER) AS page, substring(text, i * 100 + 1, 100) AS text FROM (SELECT item_id, text, unnest(range((length(text) + 99) // 100)) AS i FROM benchmark)")
+def page_files(spark, d):
+    """A file's pages by an extractor, here one that cuts every 100 characters."""
+    def pages(content: bytes) -> list[str]:
+        t = content.decode()
+        return [t[i : i + 100] for i in range(0, len(t), 100)]
+
+    return readers.read_pdf_pages(spark, f"{_files(spark, d, 'pdf')}/*.pdf", pages).select(_item_of_path(), "page", "text")
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_html_sql()} AS text FROM pages), t AS (SELECT page_id, text, {TOKENS_SQL} AS t FROM p)
+    SELECT page_id, CAST(i AS INTEGER) AS chunk_idx, CASE WHEN len(t) <= 64 THEN text ELSE array_to_string(t[i * 64 + 1 : i * 64 + 64], '') END AS text
+    FROM (SELECT page_id, text, t, unnest(range(greatest(1, (len(t) + 63) // 64))) AS i FROM t)""")
+def web_page_chunks(spark, d):
+    return readers.page_chunks(table(spark, d, "pages", "page_id", "html"), "page_id", chunk_tokens=64)
+
+
+@query(f"WITH {CODES_SQL} SELECT CAST(a.vec_id AS VARCHAR) AS key, round(1 - {MISMATCH_SQL} / 8.0::DOUBLE, 6) AS score FROM c a, c b WHERE b.vec_id = 1 AND a.vec_id NOT IN (1, 7) ORDER BY score DESC, a.vec_id LIMIT 10")
+def code_index(spark, d):
+    """An index of codes: a batch, one more, two removed, a search."""
+    rows = table(spark, d, "embeddings", "vec_id", "embedding").orderBy("vec_id").select(F.col("vec_id").cast("string").alias("key"), bits.code(F.col("embedding")).alias("code"))
+    index, one = CodeIndex(spark), rows.where("key = '1'").first()
+    index.add_batch(rows)
+    index.add("1", [0] * WIDTH)
+    index.remove(["1", "7"])
+    return index.search(one.code if one else [0] * WIDTH, 10).select("key", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, octet_length(encode(props)) AS bytes FROM events")
+def json_round_trip(spark, d):
+    """Metadata parsed, written as JSON and parsed again."""
+    again = _props(spark, d).select("event_id", F.from_json(F.to_json("metadata"), "map<string,string>").alias("m"))
+    raw = table(spark, d, "events", "event_id", "props").select("event_id", F.octet_length("props").cast("bigint").alias("bytes"))
+    return again.join(raw, "event_id").select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), "bytes")
+
+
+@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS chunks FROM (SELECT conv_id, text, unnest(range(2)) FROM conversations) GROUP BY conv_id")
+def repeated_lists(spark, d):
+    """A list repeated, extended and taken apart."""
+    rows = table(spark, d, "conversations", "conv_id", "text").select("conv_id", F.explode(F.flatten(F.array_repeat(F.array("text"), 2))).alias("text"))
+    return rows.groupBy("conv_id").agg(F.sum(F.length("text")).cast("bigint").alias("chars"), F.count("*").alias("chunks"))
 
 
 @query("SELECT item_id, octet_length(encode(text)) AS bytes, length(text) AS chars FROM benchmark")

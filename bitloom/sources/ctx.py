@@ -6,9 +6,13 @@ A file is one collection and is read or written by one task; collections that ou
 from __future__ import annotations
 
 import json
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, WriterCommitMessage
 
@@ -104,30 +108,58 @@ class CtxSource(DataSource):
         return CtxWriter(self.options)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, on any machine, and the path on it."""
+    if "://" not in path:
+        path = os.path.abspath(path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path)
+
+
 class CtxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def read(self, partition) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+        on, path = file_system(self.path)
+        with on.open_input_stream(path) as f:
             yield from rows_of(f.read())
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    part: str | None
+
+
 class CtxWriter(DataSourceWriter):
+    """A task writes a part beside the file; the commit moves it into place, an abort removes it."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.header = {"embedding_model": options.get("embedding_model", "hash"), "embedding_size": int(options.get("embedding_size", WIDTH)), "embedding_dtype": options.get("embedding_dtype", "float32"), "context_length": int(options.get("context_length", 512))}
 
     def write(self, iterator) -> WriterCommitMessage:
-        import os
-
         rows = sorted((r.asDict() for r in iterator), key=lambda r: r["ordinal"])
-        if rows or not os.path.exists(self.path):
-            body = dump_ctx(self.header, [(r["chunk_id"], r["text"] or "", {k: None if v is None else json.loads(v) for k, v in (r["metadata"] or {}).items()}, from_code(r["code"]) if r["code"] is not None else list(r["embedding"] or [])) for r in rows])
-            with open(f"{self.path}.part", "wb") as f:
-                f.write(body)
-            os.replace(f"{self.path}.part", self.path)
-        return WriterCommitMessage()
+        on, path = file_system(self.path)
+        body = dump_ctx(self.header, [(r["chunk_id"], r["text"] or "", {k: None if v is None else json.loads(v) for k, v in (r["metadata"] or {}).items()}, from_code(r["code"]) if r["code"] is not None else list(r["embedding"] or [])) for r in rows])
+        part = f"{path}.part-{uuid.uuid4().hex}"
+        with on.open_output_stream(part) as f:
+            f.write(body)
+        return Written(part)
+
+    def commit(self, messages: list) -> None:
+        on, path = file_system(self.path)
+        parts = [m.part for m in messages if m is not None]
+        if len(parts) > 1:
+            self.abort(messages)
+            raise ValueError("a CTX file is written by one task: coalesce(1) first")
+        if parts:
+            on.move(parts[0], path)
+
+    def abort(self, messages: list) -> None:
+        on, _ = file_system(self.path)
+        for m in messages:
+            if m is not None:
+                on.delete_file(m.part)
 
 
 def register(spark: SparkSession) -> None:
@@ -141,6 +173,13 @@ def write_ctx(df: DataFrame, path: str, **options: str) -> None:
     df.select(*cols).coalesce(1).write.format("ctx").mode("append").options(**options).save(path)
 
 
+def read_header(path: str) -> dict:
+    """The header of a file."""
+    on, own = file_system(path)
+    with on.open_input_stream(own) as f:
+        return parse_ctx(f.read())[0]
+
+
 def read_ctx(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     return spark.read.format("ctx").load(path)

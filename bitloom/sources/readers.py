@@ -43,6 +43,29 @@ def docx_text(content: bytes) -> list[str]:
     return ["\n\n".join(lines)]
 
 
+def as_docx(text: str) -> bytes:
+    """A DOCX file of one paragraph."""
+    from xml.sax.saxutils import escape
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>{escape(text)}</w:t></w:r></w:p></w:body></w:document>')
+    return out.getvalue()
+
+
+def write_files(folder: str, files: dict[str, bytes]) -> None:
+    """Uploads: the driver's files into a folder of any file system. A name may not lead out of it."""
+    from .ctx import file_system
+
+    on, path = file_system(folder)
+    on.create_dir(path, recursive=True)
+    for name, body in files.items():
+        if os.path.basename(name) != name or name in ("", ".", ".."):
+            raise ValueError(f"bad file name {name!r}")
+        with on.open_output_stream(f"{path}/{name}") as f:
+            f.write(body)
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return _extracted(spark, path, docx_text, "").drop("page")
 
@@ -83,23 +106,35 @@ def pages_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("text", html_text(F.col(html)))
 
 
-def read_webpage(spark: SparkSession, url: str, fetch: Callable[[str], str] | None = None) -> DataFrame:
-    """One page, fetched by the driver. Only http and https; give `fetch` to control access."""
+def page_chunks(pages: DataFrame, key: str, html: str = "html", chunk_tokens: int = 512) -> DataFrame:
+    """(key, chunk_idx, text): the texts of fetched pages in windows of tokens."""
+    return pages_text(pages, html).select(key, F.posexplode(token_chunks(F.col("text"), chunk_tokens)).alias("chunk_idx", "text"))
+
+
+def read_webpage(spark: SparkSession, url: str, fetch: Callable[[str], str] | None = None, chunk_tokens: int = 512) -> DataFrame:
+    """(path, chunk_idx, text) of one page, fetched by the driver. Only http and https; give `fetch` to control access."""
     if not re.match(r"https?://", url):
         raise ValueError(f"not a web address: {url}")
     if fetch is None:
         from urllib.request import urlopen
 
         fetch = lambda u: urlopen(u, timeout=30).read().decode("utf-8", "replace")  # noqa: E731, S310
-    return pages_text(spark.createDataFrame([(url, fetch(url))], "path string, html string")).select("path", "text")
+    return page_chunks(spark.createDataFrame([(url, fetch(url))], "path string, html string"), "path", chunk_tokens=chunk_tokens)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {".txt": read_text, ".pdf": read_pdf, ".docx": read_docx, ".csv": read_csv}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob on any Hadoop file system has a file."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(own)
+    return found is not None and len(found) > 0
+
+
 def read_file(spark: SparkSession, path: str, chunk_tokens: int = 512) -> DataFrame:
     """Dispatch on the extension. Texts come as chunks (path, chunk_idx, text), CSV as rows of strings."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     kind = os.path.splitext(path)[1].lower()
     if kind not in READERS:

@@ -110,7 +110,7 @@ def test_token_chunks_join(spark):
 
 def test_ties_and_widths(spark):
     df = spark.createDataFrame([(i, [1] * 8) for i in range(20)] + [(99, [1] * 4)], "ordinal bigint, code array<int>")
-    got = search.top_k(search.same_width(df, 8), search.distance_to(df, [1] * 8), 3).collect()
+    got = search.top_k(search.same_width(df, 8), search.distance_to([1] * 8), 3).collect()
     assert [r.ordinal for r in got] == [0, 1, 2]
 
 
@@ -156,6 +156,104 @@ def test_stream(spark, tmp_path, store):
     assert store.count() == 2 and store.retrieve("gamma", top_k=1)[0][1] == "gamma"
 
 
+def test_parts_and_compaction(spark, tmp_path):
+    """Changes write their own rows only; many parts become one; a table that is open stays readable."""
+    c = Collection(spark, str(tmp_path / "wh"), "c")
+    c.add([{"text": f"t{i}", "id": f"i{i}"} for i in range(5)])
+    c.save()
+    before = c.table
+    for i in range(12):
+        assert c.update("i1", text=f"new {i}")
+    assert c.delete("i2") == 1 and len(c._parts) <= 9
+    again = Collection(spark, str(tmp_path / "wh"), "c")
+    assert [(r.item_id, r.text) for r in again.dump().collect()] == [("i0", "t0"), ("i1", "new 11"), ("i3", "t3"), ("i4", "t4")]
+    assert before.count() == 5
+    other = Collection(spark, str(tmp_path / "wh"), "c")
+    other.add("x", item_id="o")
+    again.add("y", item_id="p")
+    other.save()
+    with pytest.raises(Exception, match="exist"):  # two writers of one version
+        again.save()
+
+
+def test_many_partitions(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "wh"), "c")
+    c.add(spark.range(40).repartition(1100).select(F.lit("t").alias("text")), item_id="d")
+    got = c.dump().collect()
+    assert len(got) == 40 and len({r.ordinal for r in got}) == 40 and sorted(r.chunk_idx for r in got) == list(range(40))
+
+
+def test_metadata_forms(store):
+    store.add([{"text": "a", "metadata": {"n": 1e16, "l": [1.0, True], "o": {"x": 2.0}}, "id": "a"}, {"text": "b", "metadata": {"n": 1}, "id": "b"}])
+    for where in ({"n": 1e16}, {"n": 10**16}, {"l": [1, 1]}, {"l": [1.0, True]}, {"o": {"x": 2}}):
+        assert [r[0] for r in store.get(where=where)] == ["a"], where
+    assert store.get("a")[0][2] == {"n": 1e16, "l": [1.0, True], "o": {"x": 2.0}}
+    store.update("a", metadata={"n": True})
+    assert [r[0] for r in store.get(where={"n": 1})] == ["a", "b"]
+
+
+def test_widths(store, spark):
+    store.set_batch(["a", "b"], [[1] * 4, [2] * 4])
+    with pytest.raises(ValueError):
+        store.retrieve("x")
+    store.set_batch(["neg", "odd"], [[-128] * 8, [300.7] * 8])
+    got = {r.text: r.code for r in store.table.collect()}
+    assert got["neg"] == [0] * 8 and got["odd"] == [300] * 8
+    hits = store.search([0] * 8, 5).collect()
+    assert [(r.text, r.score) for r in hits] == [("neg", 0), ("odd", 2400)]
+    ids = store.set_batch(spark.createDataFrame([("v", [1.0, -1.0] * 32)], "text string, vector array<double>"))
+    assert ids.count() == 1 and store.search([0xAA] * 8, 1).first().text == "v"
+
+
+def test_retrieve_several_filtered(store):
+    store.add([{"text": t, "metadata": {"n": n % 2}} for n, t in enumerate(["red fox", "blue whale", "green tree", "red fox jumps", "sand"])])
+    one = [store.retrieve(q, top_k=2, metadata={"n": 0}, return_scores=True) for q in ("red fox", "sand")]
+    assert [h[3] for h in store.retrieve(["red fox", "sand"], top_k=4, metadata={"n": 0}, return_scores=True)] == sorted(h[3] for x in one for h in x)
+
+
+def test_tokenizer_hook(spark, tmp_path):
+    import public_tokenizers as P
+
+    own = text.tiktoken_file(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    value = "Some words, <|endoftext|> and more. " * 40
+    row = spark.createDataFrame([(value,), (None,)], "t string").select(own.count(F.col("t")).alias("n"), own.chunks(F.col("t"), 100).alias("c")).collect()
+    assert "".join(row[0].c) == value and len(row[0].c) == -(-row[0].n // 100) > 1 and row[1].c == [""] and row[1].n == 0
+    c = Collection(spark, str(tmp_path / "wh"), "c", tokenizer=own)
+    assert c.add(value, item_id="x", need_chunks=True, fast=False) == [("x", max(1, -(-row[0].n // 512)))]
+
+
+def test_entities(spark):
+    cases = {"a &#65;&#x42; &lt;b&gt; &amp;lt;": "a AB <b> &lt;", "&#0; &#1114112;": "\ufffd \ufffd", "&#128512;&eacute;&unknown;": "😀é&unknown;", "none": "none"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", text.html_text(F.col("t")).alias("got")).collect())
+
+
+def test_index(spark):
+    from bitloom.operators.index import CodeIndex
+
+    index = CodeIndex(spark)
+    index.add("a", [1, 2, 3, 4])
+    index.add_batch(["b", "c", "a"], [[1, 2, 3, 0], [9, 9, 9, 9], [1, 2, 0, 0]])
+    assert [tuple(r) for r in index.search([1, 2, 3, 4], 2).collect()] == [("b", 0.75), ("a", 0.5)]
+    index.remove("b")
+    assert index.table.count() == 2 and index.search([1, 2], 3).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    from bitloom import shared
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
