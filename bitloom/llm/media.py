@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import slices, table
+from .base import settle, slices, table
 
 RATE, TARGET_RATE, UNIT, BLOCK_HEADER, SLICE = 8000, 16000, 192, 4, 4 << 20
 MULAW, ALAW, ADPCM = 7, 6, 0x11
@@ -152,51 +152,64 @@ def decode_many(parsed: list[tuple[int, int, int, bytes] | None]) -> list[np.nda
 def store_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: str = "pcm") -> DataFrame:
     """Add a column of little-endian int16 PCM at `rate`, decoded from WAV media; null where the media is not such a file."""
     schema = df.drop(out).schema.add(out, "binary")
+    return df.drop(out).mapInArrow(lambda batches: with_pcm(batches, media, rate, out), schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, media, SLICE):
-            parsed = [parse_wav(m) if m else None for m in b.column(b.schema.get_field_index(media)).to_pylist()]
-            pcm = [None if x is None else resample(x, p[1], rate).astype("<i2").tobytes() for p, x in zip(parsed, decode_many(parsed))]
-            cols = [b.column(i) for i, n in enumerate(b.schema.names)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pcm, pa.binary())], names=[*b.schema.names, out])
 
-    return df.drop(out).mapInArrow(run, schema)
+def with_pcm(batches: Iterable[pa.RecordBatch], media: str = "media", rate: int = TARGET_RATE, out: str = "pcm") -> Iterator[pa.RecordBatch]:
+    """Batches with the column of PCM, in slices of bounded size."""
+    for b in slices(batches, media, SLICE):
+        parsed = [parse_wav(m) if m else None for m in b.column(b.schema.get_field_index(media)).to_pylist()]
+        pcm = [None if x is None else resample(x, p[1], rate).astype("<i2").tobytes() for p, x in zip(parsed, decode_many(parsed))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm, pa.binary())], names=[*b.schema.names, out])
 
 
 def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw.ljust(max(unit, -(-len(raw) // unit) * unit), b" ")
 
 
-def feature(codec: int, pcm: np.ndarray, stored: np.ndarray) -> str:
-    """Figures of the decoded samples and of the resampled PCM."""
+def feature(codec: int, rate: int, pcm: np.ndarray) -> str:
+    """Figures of the resampled samples."""
     x = pcm.astype(np.float32)
     rms = float(np.sqrt(np.mean(np.square(x, dtype=np.float64))))
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{NAMES[codec]}:{RATE}:{len(pcm)}:peak={int(np.abs(x).max())}:rms={rms:.3f}:zc={crossings}:pcm{TARGET_RATE}={len(stored)},{zlib.crc32(stored.astype('<i2').tobytes()):08x}"
+    return f"{NAMES[codec]}:{rate}:{len(pcm)}:peak={int(np.abs(x).max())}:rms={rms:.3f}:zc={crossings}:crc={zlib.crc32(pcm.tobytes()):08x}"
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
+TYPES = [{"bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Store each whole text as telephony audio, read it back and describe it. The codec follows from the payload's crc32, so equal texts are equal media."""
+def store_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of each whole text, as telephony audio. The codec follows from the payload's crc32, so equal texts are equal media."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             raws = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             media = [wav(CODECS[zlib.crc32(p) % 3], p) for p in map(pad, raws)]
-            parsed = [parse_wav(m) for m in media]
-            pcms, rows = decode_many(parsed), []
-            for doc, raw, m, p, pcm in zip(b.column(0).to_pylist(), raws, media, parsed, pcms):
-                back = payload_of(p[0], p[2], p[3])
-                rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p[0], pcm, resample(pcm, p[1], TARGET_RATE))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """Payload and features of stored media (doc_id, n_bytes, media): the media are read back and decoded, and their PCM column described."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in with_pcm(batches):
+            rows = []
+            for doc, n, m, pcm in zip(*(c.to_pylist() for c in b.columns)):
+                codec, _, align, data = parse_wav(m)
+                back = payload_of(codec, align, data)
+                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, TARGET_RATE, np.frombuffer(pcm, "<i2"))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=FIELDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
-FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
-TYPES = [{"bigint": pa.int64(), "string": pa.string()}[x.split()[1]] for x in SCHEMA.split(", ")]
+def text_media(docs: DataFrame) -> DataFrame:
+    """Store each whole text as telephony audio in the shared folder, read it back and describe it."""
+    return describe(settle(store_media(docs)))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
