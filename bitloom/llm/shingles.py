@@ -5,6 +5,7 @@ classes are candidates if they share a key, which a pair at 0.8 misses with prob
 closer one less. Candidates are verified in two rounds: each class of a bucket with its smallest one, then all pairs of
 a bucket that aren't in one component yet. Pairs within a component are left out, for they can't change it; so many
 copies of one text cost a pass and not their square. Many unlike texts in one bucket do cost their square.
+SimHash fingerprints of the same shingles, linked by the trie join of operator 5, are candidates of the first round too.
 
 Edge cases: null and empty texts are one class; texts of fewer than five words are one shingle whole; a null doc_id keeps
 its row and never names a component unless nothing else is in it.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .base import apart, drop_settled, settle
 from .components import components
+from .simhash import trie_join
 
 WIDTH, BANDS, ROWS, SEED, CHUNK = 5, 24, 5, 42, 512
 _MIX = np.random.default_rng(SEED).integers(0, np.iinfo(np.uint64).max, (2, BANDS * ROWS, 1), np.uint64, endpoint=True)
@@ -38,6 +40,12 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(flat[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())], np.uint64))
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """Signed 64-bit SimHash of distinct hashes; zero for none."""
+    bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
+
+
 def keys(own: np.ndarray) -> list[int]:
     """The signed 64-bit key of each band; none for a text without words."""
     if not len(own):
@@ -54,26 +62,27 @@ def _words(x: pa.Scalar) -> list[bytes]:
 
 
 def _marked(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, same (a digest of the words), n (shingles) and keys of each text."""
+    """`keep`, same (a digest of the words), n (shingles), fp (their SimHash) and keys of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, n, own_keys = [], [], []
+            same, n, fps, own_keys = [], [], [], []
             for x in b.column(b.schema.get_field_index("text")).cast(pa.binary()):
                 words = _words(x)
                 own = shingles(words)
                 same.append(xxhash.xxh128_digest(b" ".join(words)))
                 n.append(len(own))
+                fps.append(simhash_of(own))
                 own_keys.append(keys(own))
-            cols = [*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(own_keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "same", "n", "keys"])
+            cols = [*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(own_keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "same", "n", "fp", "keys"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "same binary, n bigint, keys array<bigint>"]))
+    return docs.select(*keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "same binary, n bigint, fp bigint, keys array<bigint>"]))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets have a Jaccard similarity of 0.8 or more."""
+def _verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets reach the Jaccard similarity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,43 +94,52 @@ def _verified(pairs: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame
     sets = settle(one.mapInArrow(run, "rep bigint, own array<bigint>"))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    links = settle(both.where(9 * F.col("shared") >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    links = settle(both.where(F.col("shared") * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("a", "b"))
     drop_settled(sets)
     return links
 
 
-def _near(a: str, b: str) -> Column:
-    """Sizes that allow a similarity of 0.8."""
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Sizes that allow the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes of one fingerprint with the smallest of them, and the smallest ones of linked fingerprints."""
+    lead = settle(classes.where("n > 0").groupBy("fp").agg(F.min("rep").alias("lead")))
+    edges = trie_join(lead.select("fp"))
+    same = classes.join(lead, "fp").where(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    linked = edges.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    return same.unionByName(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def links(classes: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all classes (rep, same, n, keys) as their candidate pairs at 0.8 do."""
+def links(classes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all classes (rep, same, n, keys) as their candidate pairs at the similarity do."""
     every = classes.select("rep", "n", F.explode("keys").alias("key"))
     full = every.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lead")).where("c > 1").select("key", "lead")
     bucket = settle(every.join(full, "key"))
-    stars = bucket.where(F.col("rep") != F.col("lead.rep")).where(_near("n", "lead.n")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-    first = _verified(settle(stars.distinct()), classes, own)
+    stars = bucket.where(F.col("rep") != F.col("lead.rep")).where(_near("n", "lead.n", similarity)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+    first = _verified(settle(stars.unionByName(_fingerprint_pairs(classes)).distinct()), classes, own, similarity)
     root = components(first)
     bucket = settle(bucket.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root")))
     part = bucket.select("key", "root").distinct()
     cross = part.select("key", F.col("root").alias("p")).join(part.select("key", F.col("root").alias("q")), "key").where("p < q")
     left = bucket.select("key", F.col("root").alias("p"), F.col("rep").alias("i"), F.col("n").alias("ni"))
     right = bucket.select("key", F.col("root").alias("q"), F.col("rep").alias("j"), F.col("n").alias("nj"))
-    rest = cross.join(left, ["key", "p"]).join(right, ["key", "q"]).where(_near("ni", "nj"))
+    rest = cross.join(left, ["key", "p"]).join(right, ["key", "q"]).where(_near("ni", "nj", similarity))
     rest = rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    return first.unionByName(_verified(settle(rest), classes, own))
+    return first.unionByName(_verified(settle(rest), classes, own, similarity))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row of each component, with all columns: that of the smallest doc_id (of rows that repeat it, one)."""
     from pyspark.sql import Window as W
 
-    docs, cols, back = apart(docs, "same", "n", "keys", "_id", "_r")
+    docs, cols, back = apart(docs, "same", "n", "fp", "keys", "_id", "_r")
     own = settle(_marked(docs, cols))
-    classes = own.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = own.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
-    root = components(links(classes, own))
+    root = components(links(classes, own, similarity))
     named = settle(classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("same", "least", F.coalesce("root", "rep").alias("root")))
     # the smallest (doc_id, same) of a component wins: narrow, and pre-aggregated before the shuffle
     least = named.groupBy("root").agg(F.min("least").alias("_id"))

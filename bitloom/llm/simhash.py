@@ -14,6 +14,7 @@ row each; a null doc_id keeps its row and never names a component unless nothing
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from .components import components, forest
 BUDGET, WIDTH, SEED, CHUNK = 4, 4, 42, 1 << 15
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_NODE, PER_TASK, PAIRS = 20_000, 200_000, 1 << 20
+MOST_BITS = 12  # of a split: its sub-nodes' masks are literals of the plan
 
 
 def fingerprint(raw: bytes, width: int = WIDTH, seed: int = SEED) -> int:
@@ -145,6 +147,11 @@ def _join_tasks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(uniq[has]), pa.array(uniq[root[has]])], names=["a", "b"])
 
 
+def few_bits(s: int, budget: int = BUDGET) -> list[int]:
+    """All numbers of `s` bits with at most `budget` bits set."""
+    return [sum(1 << k for k in bits) for n in range(min(s, budget) + 1) for bits in combinations(range(s), n)]
+
+
 def trie_join(fps: DataFrame, max_node: int = MAX_NODE, per_task: int = PER_TASK) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within the budget: a spanning forest from each task."""
     spark = fps.sparkSession
@@ -153,42 +160,53 @@ def trie_join(fps: DataFrame, max_node: int = MAX_NODE, per_task: int = PER_TASK
     rows = rows.withColumn("task", F.when(F.col("depth") == 12, F.shiftrightunsigned("val", 52) * 5 + F.col("block")).otherwise(F.col("task")))
     sizes = rows.groupBy("task").count()
     # 5 x 2^13 nodes at most, whatever the input: a proven bound for what is broadcast
-    hot = sizes.where(F.col("count") > max_node).select("task", F.least(F.lit(20), F.ceil(F.log2(F.col("count") / max_node)) + 1).cast("int").alias("s"))
+    hot = sizes.where(F.col("count") > max_node).select("task", F.least(F.lit(MOST_BITS), F.ceil(F.log2(F.col("count") / max_node)) + 1).cast("int").alias("s"))
     n = fps.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-5 * n // per_task))
     rows = rows.join(F.broadcast(hot), "task", "left")
     plain = rows.where("s is null").select("task", F.lit(False).alias("mixed"), "depth", "val", "fp")
     u = F.expr("shiftrightunsigned(shiftleft(val, depth), 64 - s)")
-    split = rows.where("s is not null").withColumn("u", u).withColumn("v", F.explode(F.expr(f"filter(sequence(0L, shiftleft(1L, s) - 1), v -> bit_count(v ^ u) <= {BUDGET})")))
+    # each sub-node meets those within the budget: masks of few bits, made once for each s
+    masks = F.coalesce(*[F.when(F.col("s") == s, F.array(*[F.lit(m).cast("bigint") for m in few_bits(s)])) for s in range(1, MOST_BITS + 1)])
+    split = rows.where("s is not null").withColumn("u", u).withColumn("v", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("u")))))
     split = split.select(F.xxhash64("task", F.least("u", "v"), F.greatest("u", "v")).alias("task"), (F.col("u") != F.col("v")).alias("mixed"), (F.col("depth") + F.col("s")).alias("depth"), "val", "fp")
     return plain.unionByName(split).repartition(tasks, "task").mapInArrow(_join_tasks, "a bigint, b bigint")
 
 
-def groups(own: DataFrame) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of `own` (doc_id, fp)."""
+def roots(own: DataFrame) -> DataFrame:
+    """(fp, root, least) of the distinct fingerprints of `own` (doc_id, fp): the component's smallest fingerprint, and the smallest doc_id of the fingerprint."""
     fps = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(trie_join(fps.select("fp")))
     named = settle(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     drop_settled(fps)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return named
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`."""
     own = settle(fingerprints(docs))
-    return own.join(groups(own), "fp").select("doc_id", "fp", "component_id")
+    named = roots(own)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """One row of each component, with all columns: that of the smallest doc_id (of rows that repeat it, one).
 
+    Components are of fingerprints within the budget; with a `similarity`, of texts whose 5-word shingles have that Jaccard
+    similarity (see `shingles`), for which the fingerprints' links are candidates among others.
+    """
+    if similarity is not None:
+        from . import shingles
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns: that of the smallest doc_id (of rows that repeat it, one)."""
+        return shingles.deduplicate(docs, similarity)
     from pyspark.sql import Window as W
 
     docs, cols, back = apart(docs, "fp", "_id", "_r")
     own = settle(fingerprints(docs, cols))
     # the smallest (doc_id, fp) of a component wins: narrow, and pre-aggregated before the shuffle
-    win = own.select("doc_id", "fp").distinct().join(groups(own.select("doc_id", "fp")), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    win = win.groupBy("component_id").agg(F.min("fp").alias("fp")).select(F.col("component_id").alias("_id"), "fp")
+    named = roots(own.select("doc_id", "fp"))
+    win = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("w")).select(F.col("w.least").alias("_id"), F.col("w.fp").alias("fp"))
     kept = own.join(win, (own["fp"] == win["fp"]) & own["doc_id"].eqNullSafe(win["_id"]), "left_semi")
     once = W.partitionBy("doc_id", "fp").orderBy("text")
     return kept.withColumn("_r", F.row_number().over(once)).where("_r = 1").select(*back)

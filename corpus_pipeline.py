@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import langid, packing, pii, shingles, toxicity
-from bitloom.llm.base import apart, settle, table
+from bitloom.llm import langid, packing, pii, simhash, toxicity
+from bitloom.llm.base import apart, drop_settled, settle, table
 
 #: A document whose words hardly agree on any language is rejected below this share of posterior mass.
 LEAST_SHARE = 0.3
+#: Of the sets of 5-word shingles.
+SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that shares 0.8 or more of its 5-word shingles."""
-    return shingles.deduplicate(docs)
+    return simhash.deduplicate(docs, SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        if k:  # the stage before is read no more
+            drop_settled(before)
     return docs
