@@ -3,8 +3,8 @@
 A piece of `capacity` tokens fills a sequence alone. The others are packed in partitions of at most `per_task` pieces.
 Each partition's number of bins is held against its lower bound (the largest over a family of dual feasible functions);
 a partition at its bound is certified and stays. Partitions with a gap exchange documents: the pieces of their bins that
-aren't full to the last token are spread anew over fewer partitions and packed again, until no gap is left, a single
-partition is left, or a round saves no bin.
+aren't full to the last token are spread anew over partitions and packed again, until no gap is left, a single partition
+is left, or a round saves no bin. Every row carries its partition's bound and gap.
 
 Edge cases: null and empty texts are one piece of the end id alone; equal texts and repeated ids are packed as rows of
 their own; a null doc_id is kept; extra columns go.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import settle, slices, table
 
-CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 500_000, 1 << 20
+CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 300_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 #: Characters on which Python and the tokenizer might disagree whether they are white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -216,9 +216,9 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _pack(rows: DataFrame, tasks: int, capacity: int) -> DataFrame:
+def _pack(rows: DataFrame, tasks: int, capacity: int, level: int) -> DataFrame:
     """Pack each of `tasks` partitions. Adds bin (unique over the round), load, and the partition's gap to its bound."""
-    names = ["doc_id", "piece", "row", "length", "bin", "load", "gap"]
+    names = ["doc_id", "piece", "row", "length", "bin", "load", "bound", "gap"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -230,45 +230,37 @@ def _pack(rows: DataFrame, tasks: int, capacity: int) -> DataFrame:
         lengths = t.column("length").to_numpy()
         bins = best_fit(lengths, capacity)
         load = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(load) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
         base = TaskContext.get().partitionId() << 32
-        cols = [*(t.column(n).combine_chunks() for n in names[:4]), pa.array(bins + base), pa.array(load[bins]), pa.array(np.full(len(bins), gap))]
+        cols = [*(t.column(n).combine_chunks() for n in names[:4]), pa.array(bins + base), pa.array(load[bins]), pa.array(np.full(len(bins), bound)), pa.array(np.full(len(bins), len(load) - bound))]
         for b in pa.table(cols, names=names).to_batches(max_chunksize=50_000):
             yield b
 
-    part = F.pmod(F.xxhash64("row"), F.lit(tasks)).cast("int")
+    part = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(tasks)).cast("int")
     spread = rows.select("doc_id", "piece", "row", "length").withColumn("p", part).repartition(tasks, "p").drop("p")
-    return spread.mapInArrow(run, "doc_id bigint, piece int, row bigint, length bigint, bin bigint, load bigint, gap bigint")
+    return spread.mapInArrow(run, "doc_id bigint, piece int, row bigint, length bigint, bin bigint, load bigint, bound bigint, gap bigint")
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, rounds: int = 8) -> DataFrame:
-    """Add sequence_id and offset to the rows of `pieces`."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, exchange: bool = True) -> DataFrame:
+    """Add sequence_id and offset to the rows of `pieces`, and bound and gap: the least bins of the partition that packed the row last, and the bins beyond."""
     # row: distinct for repeated (doc_id, piece) too, and settled, so that a repeated task sees the same numbers
     cut = settle(cut.withColumn("row", F.monotonically_increasing_id()))
-    full = cut.where(F.col("length") >= capacity).select("row", (-F.col("row") - 1).alias("sequence_id"))
-    todo, level, done = cut.where(F.col("length") < capacity), 0, []
+    named = cut.where(F.col("length") >= capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(1).cast("bigint").alias("bound"), F.lit(0).cast("bigint").alias("gap"))
+    todo, level, bins = cut.where(F.col("length") < capacity), 0, None
     n = todo.count()
     while n:
         tasks = -(-n // per_task)
-        now = settle(_pack(todo, tasks, capacity).withColumn("level", F.lit(level)))
-        open_bin = (F.col("gap") > 0) & (F.col("load") < capacity)
-        gaps, left, bins, tokens = now.agg(F.countDistinct(F.when(open_bin, F.col("bin"))), F.count(F.when(open_bin, 1)), F.countDistinct("bin"), F.sum("length")).first()
-        if tasks == 1 or not left or level + 1 >= rounds:
-            done.append(now)
+        now = settle(_pack(todo, tasks, capacity, level))
+        is_open = (F.col("gap") > 0) & (F.col("load") < capacity)
+        each = now.groupBy("bin").agg(F.first(is_open).alias("open"), F.first("load").alias("load"), F.count("*").alias("n"))
+        made, gaps, tokens, left = each.agg(F.count("*"), F.count_if("open"), F.coalesce(F.sum(F.when(F.col("open"), F.col("load"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("open"), F.col("n"))), F.lit(0))).first()
+        # exchanging can save bins only if what the open bins hold fits into fewer; and the last exchange must have saved one
+        again = exchange and tasks > 1 and left and -(-tokens // capacity) < gaps and (bins is None or made < bins)
+        kept = now.where(~is_open) if again else now
+        named = named.unionByName(kept.select("row", (F.lit(level << 52).cast("bigint") + F.col("bin")).alias("sequence_id"), "bound", "gap"))
+        if not again:
             break
-        again = now.where(open_bin)
-        # exchanging can save bins only if what the open bins hold fits into fewer
-        if -(-again.agg(F.sum("length")).first()[0] // capacity) >= gaps:
-            done.append(now)
-            break
-        done.append(now.where(~open_bin))
-        todo, n, level = again, left, level + 1
-    named = full
-    if done:
-        packed = done[0]
-        for more in done[1:]:
-            packed = packed.unionByName(more)
-        named = full.unionByName(packed.select("row", (F.col("level").cast("bigint") * F.lit(1 << 52) + F.col("bin")).alias("sequence_id")))
+        todo, n, level, bins = now.where(is_open).select(*cut.columns[:2], "row", "length"), left, level + 1, gaps
     from pyspark.sql import Window as W
 
     out = cut.join(named, "row")
