@@ -201,8 +201,8 @@ def _joined(arrays: list[Column]) -> Column:
 def find(docs: DataFrame, model: Classifier) -> DataFrame:
     """The digest row of each whole text."""
     found = docs.select("doc_id", spans(F.coalesce(F.col("text"), F.lit("")), model).alias("x"))
-    row = let(F.col("x"), lambda x: F.struct(*[F.size(x[k]).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2(F.encode(_joined([x[k] for k in KINDS[:4]]), "utf-8"), 256).alias("base_sha256"), _joined([x[k] for k in KINDS]).alias("spans")))
-    return found.select("doc_id", row.alias("r")).select("doc_id", "r.n_email", "r.n_ip", "r.n_card", "r.n_phone", "r.base_sha256", "r.spans", "r.n_secret")
+    row = let(F.col("x"), lambda x: F.struct(*[F.size(x[k]).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2(F.encode(_joined([x[k] for k in KINDS[:4]]), "utf-8"), 256).alias("base_sha256"), _joined([x[k] for k in KINDS]).alias("spans"), reduce(lambda a, k: a + F.size(x[k]), KINDS[1:], F.size(x[KINDS[0]])).cast("bigint").alias("n_spans")))
+    return found.select("doc_id", row.alias("r")).select("doc_id", "r.n_email", "r.n_ip", "r.n_card", "r.n_phone", "r.base_sha256", "r.spans", "r.n_secret", "r.n_spans")
 
 
 def redacted(t: Column, model: Classifier) -> Column:

@@ -169,7 +169,8 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int
     """Statistics and labels of at most `per_class` labelled rows of each class."""
     known = labels.where(F.col("quality").isNotNull() & (id_crc("doc_id", 4) != held_out)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = bounded_ids(known.where("doc_id is not null"), per_class, "quality", 31)
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(8 * per_class)
+    # of rows that repeat an id the least text: as many rows as ids, whatever the table holds
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted(tuple(r) for r in with_statistics(own, ("quality",)).collect())
     return np.array([r[1:] for r in rows], float).reshape(-1, len(NAMES)), np.array([r[0] == 1 for r in rows], float)
 

@@ -59,6 +59,10 @@ def test_media(edge, nothing):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
         stored = media.wav(media.CODECS[zlib.crc32(want) % 3], want)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        codec, rate, align, data = media.parse_wav(stored)
+        pcm = media.EXPAND[codec][np.frombuffer(data, np.uint8)] if codec != media.ADPCM else np.array([x for k in range(0, len(data), align) for x in ima(data[k : k + align])], np.int16)
+        pcm = media.resample(pcm, rate, media.TARGET_RATE).astype("<i2")
+        assert r.feature == media.feature(codec, media.TARGET_RATE, pcm) and f":{len(pcm)}:peak={np.abs(pcm.astype(int)).max()}:" in r.feature
     assert rows[4][1:] == rows[5][1:] and media.text_media(nothing).count() == 0
 
 
@@ -328,6 +332,12 @@ def test_simhash(spark, docs, edge, nothing):
     kept = simhash.deduplicate(docs.unionByName(docs))
     assert kept.columns == docs.columns and kept.count() == simhash.simhash_components(docs).select("component_id").distinct().count()
     assert simhash.simhash_components(nothing).count() == 0
+    odd = docs.sparkSession.createDataFrame([(1, "a b c"), (1, "x y z"), (2, "X y z"), (None, "q r"), (None, "q r"), (3, None), (4, "")], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.deduplicate(odd).collect()), key=repr) == sorted([(1, "a b c"), (1, "x y z"), (None, "q r"), (3, None)], key=repr)
+
+
+def test_few_bits():
+    assert all(sorted(simhash.few_bits(s)) == [m for m in range(1 << s) if m.bit_count() <= 4] for s in range(1, 13))
 
 
 @pytest.mark.parametrize("max_node", [20_000, 20])
@@ -412,6 +422,7 @@ def test_pii(spark, edge, nothing):
         kinds = Counter(s.split(":")[0] for s in want.split(",") if s)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in pii.KINDS[:4])
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert r.n_spans == len(list(filter(None, r.spans.split(","))))
         assert ("secret" in r.spans) == (r.doc_id >= len(texts) - 30) or not want == ""
     clean = pii.redact(spark.createDataFrame([(1, "x a@b.cc y 4111 1111 1111 1111"), (2, None)], "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert clean[0].text == "x [EMAIL] y [CARD]" and clean[1].text is None
@@ -447,9 +458,11 @@ def test_bounds_and_exchange(spark):
     assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.zeros(0, int), 100) == 0
     n = rng.integers(20, 45, 3000)
     cut = spark.createDataFrame([(i, 0, 0, int(x), 0) for i, x in enumerate(n)], packing.PIECES)
-    few = packing.pack(cut, 100, per_task=150).select("sequence_id").distinct().count()
-    none = packing.pack(cut, 100, per_task=150, rounds=1).select("sequence_id").distinct().count()
-    assert packing.lower_bound(n, 100) <= few <= none
+    packed = packing.pack(cut, 100, per_task=150)
+    few = packed.select("sequence_id").distinct().count()
+    none = packing.pack(cut, 100, per_task=150, exchange=False).select("sequence_id").distinct().count()
+    assert packing.lower_bound(n, 100) <= few <= none and packed.where('gap < 0 or bound < 1').count() == 0
+    assert packed.count() == len(n) and packed.groupBy('sequence_id').agg(F.sum('length').alias('t')).where('t > 100').count() == 0
 
 
 # -- op 10
