@@ -193,16 +193,39 @@ def test_pieces(spark, edge, nothing):
     import sentencepiece
 
     m = pieces.Pieces(pieces.model_path())
-    own = edge.where("doc_id <> 7").unionByName(edge.where("doc_id = 7").withColumn("text", F.lit("ab" * 40 + "  c")))
+    more = ["ab" * 40 + "  c", "  two  spaces ", "a▁b", "日本語" * 300, "=" * 500 + "x" * 61 + " y", "Zürich 𝄞𝄞 ﷽ \x00 tab\tline\n", "The quick brown fox " * 30, "aaaa aaaaa aaaaaaa banana bananana", " " * 200]
+    own = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id bigint, text string"))
+    own = settle(own.unionByName(spark.createDataFrame([(None, "no id here"), (4, "an id twice"), (None, None)], own.schema)))
     coded = settle(pieces.encode(own, m, hot=5))
-    got, text = {r.doc_id: r.ids for r in coded.collect()}, {r.doc_id: r.text or "" for r in own.collect()}
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    text = [(r.doc_id, r.text or "") for r in own.collect()]
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
-    assert got == {i: lib.encode(t) for i, t in text.items()}
-    assert {r.doc_id: r.text for r in pieces.decode(coded, m).collect()} == text
-    rows = {r.doc_id: r for r in pieces.digest(own, m, hot=5).collect()}
-    assert all(rows[i].n_pieces == len(got[i]) and rows[i].decoded for i in got) and rows[4][1:] == rows[5][1:]
-    assert pieces.digest(nothing, m).count() == 0
+    assert sorted(((r.doc_id, r.ids) for r in coded.collect()), key=key) == sorted(((i, lib.encode(t)) for i, t in text), key=key)
+    assert sorted(((r.doc_id, r.text) for r in pieces.decode(coded, m).collect()), key=key) == sorted(((i, t.replace("▁", " ")) for i, t in text), key=key)
+    rows = [r for h in (5, 0) for r in pieces.digest(own, m, hot=h).collect()]
+    want = sorted((i is None, i or 0, len(lib.encode(t))) for i, t in text)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_pieces) for r in rows) == sorted(want * 2) and all(r.decoded for r in rows)
+    assert len(set(map(tuple, rows))) == len(text)  # hot or rare, the digests agree
+    same = {r[1:] for r in rows if r.doc_id == 5}
+    assert len(same) == 1 and same <= {r[1:] for r in rows if r.doc_id == 4}
+    assert pieces.digest(nothing, m).count() == 0 and pieces.encode(nothing, m).count() == 0
+
+
+def test_pieces_fold_on_every_kind_of_word(spark):
+    """The fold and the heap against the library, on words that are hard to merge."""
+    import random
+
+    import sentencepiece
+
+    random.seed(3)
+    m = pieces.Pieces(pieces.model_path())
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    words = {"".join(random.choice(letters) for _ in range(random.randint(1, 40))) for letters in ("ab", "aenrst", "etaoinshrdlu", "aeiouxyzß", "0123456789.", "lL1iI|") for _ in range(250)}
+    frame = spark.createDataFrame([("▁" + w,) for w in words], "word string")
+    got = {r.word: r.ids for r in pieces.encode_words(frame, m).collect()}
     table = {p: (i, s) for p, i, s in m.rows}
+    for w in words:
+        assert got["▁" + w] == lib.encode(w) == pieces.long_ids("▁" + w, table, m.bytes[0], True, m.longest, m.unknown), w
     assert [table[p][0] for p in merge("▁sentencepiece", table)] == lib.encode("sentencepiece")
 
 
@@ -218,8 +241,9 @@ def test_viterbi(spark):
         return ways[-1][2]
 
     words = ["▁hello", "▁unbelievable", "▁straightforward", "▁a"]
-    got = pieces.encode_words(spark.createDataFrame([(w, 1) for w in words], "word string, count bigint"), m).collect()
+    got = pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), m).collect()
     assert {r.word: r.ids for r in got} == {w: best(w) for w in words}
+    assert all(pieces.long_ids(w, table, m.bytes[0], False, m.longest, m.unknown) == best(w) for w in words)
 
 
 # -- op 4
