@@ -14,7 +14,7 @@ TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+|\s+"
 PROMPT = "Represent this sentence for searching relevant passages: "
 PALETTE = tuple(f"\x1b[{n}m" for n in range(41, 48))
 #: Named entities that `html_text` decodes besides numeric ones; &amp; is last, so that what it yields isn't decoded again.
-ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&trade;", "™"), ("&reg;", "®"), ("&deg;", "°"), ("&plusmn;", "±"), ("&times;", "×"), ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&agrave;", "à"), ("&acirc;", "â"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&amp;", "&"))
 
 
 class Tokenizer(Protocol):
@@ -142,12 +142,10 @@ def _entities(t: Column) -> Column:
         body = F.lower(F.substring(m, F.lit(3), F.length(m) - 3))
         number = F.when(body.startswith("x"), F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10)).otherwise(body).cast("int")
         valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        utf8 = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "utf-32be")
-        return utf8
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "utf-32")
 
     parts, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    named = lambda x: _named(x)
-    joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(named(a), F.coalesce(char(b), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(_named(a), F.when(b.isNull(), "").otherwise(char(b)))), "")
     return F.when(F.contains(t, F.lit("&#")), joined).otherwise(_named(t))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits, distance, metadata, text
 from bitloom.operators import search
+from bitloom.plans import storage
 from bitloom.plans.collection import Collection
 from bitloom.sources import ctx, readers
 from bitloom.streaming.ingest import ingest
@@ -156,17 +157,18 @@ def test_stream(spark, tmp_path, store):
     assert store.count() == 2 and store.retrieve("gamma", top_k=1)[0][1] == "gamma"
 
 
-def test_parts_and_compaction(spark, tmp_path):
+def test_parts_and_compaction(spark, tmp_path, monkeypatch):
     """Changes write their own rows only; many parts become one; a table that is open stays readable."""
     c = Collection(spark, str(tmp_path / "wh"), "c")
     c.add([{"text": f"t{i}", "id": f"i{i}"} for i in range(5)])
     c.save()
     before = c.table
-    for i in range(12):
+    monkeypatch.setattr(storage, "PARTS", 3)
+    for i in range(4):
         assert c.update("i1", text=f"new {i}")
-    assert c.delete("i2") == 1 and len(c._parts) <= 9
+    assert c.delete("i2") == 1 and len(c._parts) <= 3 and c._generation >= 1
     again = Collection(spark, str(tmp_path / "wh"), "c")
-    assert [(r.item_id, r.text) for r in again.dump().collect()] == [("i0", "t0"), ("i1", "new 11"), ("i3", "t3"), ("i4", "t4")]
+    assert [(r.item_id, r.text) for r in again.dump().collect()] == [("i0", "t0"), ("i1", "new 3"), ("i3", "t3"), ("i4", "t4")]
     assert before.count() == 5
     other = Collection(spark, str(tmp_path / "wh"), "c")
     other.add("x", item_id="o")
