@@ -25,6 +25,7 @@ from .base import drop_settled, settle, table
 from .components import components, forest
 
 THRESHOLD, TREES, LEAF, SPILL, SAMPLE, BLOCK, SEED = 0.9, 8, 512, 0.02, 16_384, 4096, 5
+TOP, DEEPER = 12, 2
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -34,38 +35,38 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Directions and thresholds of all trees, fitted on unit vectors; a node that no sample row reaches splits at its parent's sample mean."""
+    """Directions and cuts of all trees, fitted on unit vectors. Its size is bounded: a level of a tree has one direction, and at most 2^TOP cuts.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED):
-        rng = np.random.default_rng(seed)
+    A node splits at the median of the sample rows in it; below level TOP, at that of its ancestor's there, and without a
+    sample row at that of the whole sample. Deeper forests have more trees (`DEEPER` levels a tree), for a link has to
+    survive every level of one.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, trees: int | None = None, seed: int = SEED):
         self.depth, self.trees = depth, []
-        for _ in range(trees if len(sample) else 0):
-            dirs, cuts = [], []
-            parts = [sample]
+        for t in range((trees or TREES + max(0, depth - TREES) // DEEPER) if len(sample) else 0):
+            dirs = np.random.default_rng([seed, t]).standard_normal((depth, sample.shape[1]))
+            dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
+            p, node, cuts = sample @ dirs.T, np.zeros(len(sample), np.int64), []
             for level in range(depth):
-                d = rng.standard_normal((len(parts), sample.shape[1]))
-                d /= np.linalg.norm(d, axis=1, keepdims=True)
-                cut = np.zeros(len(parts))
-                after = []
-                for k, part in enumerate(parts):
-                    p = part @ d[k]
-                    cut[k] = np.median(p)
-                    low = p <= cut[k]
-                    # both sides keep a row at least, to go on splitting below the sample
-                    after += [part[low] if low.any() else part, part[~low] if (~low).any() else part]
-                dirs.append(d)
+                own = node >> max(0, level - TOP)
+                order = np.lexsort((p[:, level], own))
+                got, first, n = np.unique(own[order], return_index=True, return_counts=True)
+                cut = np.full(1 << min(level, TOP), np.median(p[:, level]))
+                cut[got] = (p[order[first + (n - 1) // 2], level] + p[order[first + n // 2], level]) / 2
                 cuts.append(cut)
-                parts = after
+                node = 2 * node + (p[:, level] > cut[own])
             self.trees.append((dirs, cuts))
 
     def leaves(self, x: np.ndarray, spill: float = SPILL) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf of every tree that a row goes down to, sorted by row and leaf."""
         rows, leaves = [], []
         for t, (dirs, cuts) in enumerate(self.trees):
+            p = x @ dirs.T
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for d, cut in zip(dirs, cuts):
-                p = np.einsum("ij,ij->i", x[row], d[node]) - cut[node]
-                left, right = p <= spill, p > -spill
+            for level, cut in enumerate(cuts):
+                q = p[row, level] - cut[node >> max(0, level - TOP)]
+                left, right = q <= spill, q > -spill
                 row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
             rows.append(row)
             leaves.append((t << 40) + node)

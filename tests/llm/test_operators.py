@@ -512,6 +512,28 @@ def test_embed(spark, leaf, block):
     assert embed.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("depth, hot", [(7, True), (14, False)])
+def test_forest_recall(depth, hot):
+    """Links against brute force, for rows whose number is divisible by 50: a hot cluster at a moderate depth, and near copies down to 0.9 in a deep forest; and its size."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((9000, 64))
+    if hot:
+        x = np.concatenate([x, x[0] + 0.33 * rng.standard_normal((5000, 64))])
+    x = np.concatenate([x, *(x[:3000] + size * rng.standard_normal((3000, 64)) for size in (0.1, 0.3, 0.45))])
+    x = embed.unit(x)
+    forest_ = embed.Forest(x[::2], depth)
+    row, leaf = forest_.leaves(x)
+    assert sum(c.size for _, cuts in forest_.trees for c in cuts) <= len(forest_.trees) * depth << embed.TOP
+    begin = np.searchsorted(row, np.arange(len(x) + 1))
+    lists = [set(leaf[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    found = total = 0
+    for i in range(0, len(x), 50):
+        links = np.flatnonzero(x @ x[i] >= 0.9)
+        total += len(links)
+        found += sum(not lists[i].isdisjoint(lists[j]) for j in links.tolist())
+    assert total > 500 and found >= 0.95 * total, (found, total)
+
+
 # -- the pipeline
 
 
