@@ -8,7 +8,7 @@ so a conversation costs memory for its own final messages only and no group is g
 The template marks a turn as <|role|>, newline, text, <|end|>, newline. In a text a control string's mark `<|` is
 written `<\\|`, and a backslash after `<` or in a run that `<` opens is doubled by one more, which `unescape` takes back.
 Edge cases: a null text is empty; a null role is the empty role; rows that repeat a turn are turns of their own, in the
-order of role and text; a null turn comes first; an empty table gives the fixed conversation alone; extra columns go.
+order of role and text; a null turn comes first; rows without a conv_id are one conversation; an empty table gives the fixed conversation alone; extra columns go.
 """
 
 from __future__ import annotations
@@ -59,20 +59,32 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(re.sub(r"\\([\s\S])", r"\1", m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+Drafts = dict[int | None, tuple[str, list[str]]]
+
+
+def apply(drafts: Drafts, kind: str, turn: int | None, role: str | None, text: str | None) -> None:
+    """One event; a draft that is thrown away or edited over is held no longer."""
+    if kind == "start":
+        drafts.pop(turn, None)
+        drafts[turn] = (role or "", [text or ""])
+    elif kind == "drop":
+        drafts.pop(turn, None)
+    elif turn in drafts and kind == "delta":
+        drafts[turn][1].append(text or "")
+    elif turn in drafts and kind == "edit":
+        drafts[turn][1][:] = [text or ""]
+
+
+def final(drafts: Drafts) -> list[tuple[str, str]]:
+    return [(role, "".join(parts)) for _, (role, parts) in sorted(drafts.items(), key=lambda x: (x[0] is not None, x[0]))]
+
+
 def fold(events: Iterable[tuple[str, int | None, str | None, str | None]]) -> list[tuple[str, str]]:
     """Final messages of one conversation from its events (kind, turn, role, text) in order."""
-    drafts: dict[int | None, tuple[str, list[str]]] = {}
-    for kind, turn, role, text in events:
-        if kind == "start":
-            drafts.pop(turn, None)
-            drafts[turn] = (role or "", [text or ""])
-        elif kind == "drop":
-            drafts.pop(turn, None)
-        elif turn in drafts and kind == "delta":
-            drafts[turn][1].append(text or "")
-        elif turn in drafts and kind == "edit":
-            drafts[turn][1][:] = [text or ""]
-    return [(role, "".join(parts)) for _, (role, parts) in sorted(drafts.items(), key=lambda x: (x[0] is not None, x[0]))]
+    drafts: Drafts = {}
+    for event in events:
+        apply(drafts, *event)
+    return final(drafts)
 
 
 SCHEMA = "conv_id bigint, formatted string, spans array<struct<start:bigint,end:bigint>>"
@@ -88,19 +100,19 @@ def reconstruct(log: DataFrame, learn: str = "assistant") -> DataFrame:
             rows = [[{"start": a, "end": b} for a, b in s] for s in spans]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(rows, SPANS)], names=["conv_id", "formatted", "spans"])
 
-        own, events, done, size, open_ = None, [], [], 0, False
+        own, drafts, done, size, open_ = None, {}, [], 0, False
         for b in batches:
             for conv, kind, turn, role, text in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("conv_id", "kind", "turn", "role", "text"))):
                 if open_ and conv != own:
-                    done.append((own, *render(fold(events), learn)))
-                    size, events = size + len(done[-1][1]), []
+                    done.append((own, *render(final(drafts), learn)))
+                    size, drafts = size + len(done[-1][1]), {}
                     if size > 4 << 20:
                         yield flush(done)
                         done, size = [], 0
                 own, open_ = conv, True
-                events.append((kind, turn, role, text))
+                apply(drafts, kind, turn, role, text)
         if open_:
-            done.append((own, *render(fold(events), learn)))
+            done.append((own, *render(final(drafts), learn)))
         if done:
             yield flush(done)
 

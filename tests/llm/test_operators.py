@@ -309,10 +309,10 @@ def test_toxicity(spark, edge, nothing):
     finally:
         toxicity.BROADCAST_ROWS = keep
     assert other.vocab == model.vocab and np.allclose(other.curve, model.curve) and np.array_equal(other.sides[1].counts, model.sides[1].counts)
-    odd = {r.doc_id: r.score for r in toxicity.score(edge.drop("score"), model).collect()}
+    odd = {r.doc_id: r.score for r in toxicity.score(edge, model).collect()}
     assert all(0 <= s <= 1 for s in odd.values()) and odd[4] == odd[5] and odd[0] == odd[1]
-    assert max(r.score for r in toxicity.score(edge.drop("score"), toxicity.fit(edge, marks.limit(0))).collect()) < 1e-6
-    assert toxicity.score(nothing.drop("score"), model).count() == 0 and not toxicity.fit(nothing, marks).sides
+    assert max(r.score for r in toxicity.score(edge, toxicity.fit(edge, marks.limit(0))).collect()) < 1e-6
+    assert toxicity.score(nothing, model).count() == 0 and not toxicity.fit(nothing, marks).sides
     # a label without an id, a row without one, an id twice, labels that differ
     more = docs.unionByName(spark.createDataFrame([(None, "vile rotten"), (3, "again"), (5, None)], docs.schema))
     twice = marks.unionByName(spark.createDataFrame([(None, 1), (1, 1), (2, None)], marks.schema))
@@ -471,6 +471,8 @@ def test_packing(spark, docs, edge, nothing):
         g = g.sort_values("offset")
         assert (g.offset.to_numpy() == np.cumsum(g.length.to_numpy()) - g.length.to_numpy()).all() and g.length.sum() <= 4096
     assert packing.pack(packing.pieces(nothing, path)).count() == 0
+    odd = packing.pack(packing.pieces(spark.createDataFrame([(None, "a b"), (1, "слово"), (1, None), (1, "a b")], "doc_id bigint, text string"), path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in odd) == sorted((i is None, i or 0, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in [(None, "a b"), (1, "слово"), (1, ""), (1, "a b")])
 
 
 def test_bounds_and_exchange(spark):
