@@ -1,14 +1,15 @@
 """Operator 3, SentencePiece encoding and decoding by a relational lattice.
 
-A text is a dummy prefix and its words, each with the spaces before it (as the meta symbol). Distinct words are encoded
-once: their substrings up to the longest piece are exploded, equi-joined to the piece table (whose size the model file
-fixes, so it is broadcast), the edges grouped by word, and a higher-order aggregate folds them into a segmentation. A
-character without a piece becomes its bytes' pieces.
+A text is a dummy prefix and its words, each with the spaces before it (as the meta symbol). A word is cut wherever no
+piece holds the two characters side by side: nothing merges across such a place, so its spans are encoded apart. The `HOT`
+most frequent spans of a sample of rows are encoded by a lattice: their substrings up to the longest piece are exploded,
+equi-joined to the piece table (whose size the model file fixes, so it is broadcast), the edges grouped by span, and a
+higher-order aggregate folds them into a segmentation. A character without a piece becomes its bytes' pieces.
 
-The `HOT` most frequent words of a sample of rows are encoded first and meet the texts by a broadcast, so no frequent word
-makes a hot partition. The other occurrences are shuffled once, by word: the distinct words are encoded in the partitions
-where their occurrences lie, and the two join there. Words beyond `LONG` characters (a long line without spaces) don't fit
-the fold's 64 bits: a worker merges them with a heap, in n log n, over the same table.
+One pass then encodes every whole text where it lies: the lattice's table goes to the workers, and a span that isn't in it
+(rare, or beyond the fold's 64 bits) is merged by a heap, in n log n, over the same piece table; the tests hold both against
+the library. The sample only steers which way a span goes: no result depends on it. The ids of a text are one array, from
+which plain columns decode the text again.
 
 The fold follows the model file. For a unigram model it is Viterbi: the best sum of scores, on a tie the longer last
 piece. For a BPE model scores are merge ranks, whose best path is often not the encoding (the README has figures), so
@@ -17,24 +18,30 @@ exactly two of the present symbols. Where a merge makes an edge fit that had bee
 word is folded again, from the best edge at each step; the table says of which pieces that can happen.
 
 Edge cases: null and empty texts have no pieces; the meta symbol in a text reads back as a space; every row gets a row of
-its own, also under a null or repeated doc_id; extra columns go. A table has to read alike twice, as one of files does.
+its own, also under a null or repeated doc_id; extra columns go.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import let
-from .base import drop_settled, settle, table
+from .base import drop_settled, settle, slices, table
 
 META, HOT, SAMPLE, A_TASK, LONG = "▁", 150_000, 16, 500_000, 60
+KNOWN, SLICE, STEP = 300_000, 1 << 20, 1 << 16
+ODD = re.compile(f"{META}*[^{META}]+|{META}+")
 NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
 MODEL = "piece_bpe_32k.model"
 FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -107,13 +114,13 @@ class Pieces:
         return F.transform(F.split(F.lit(",".join(repr(found.get(i, self.unknown)) for i in range(max(found) + 1))), ","), lambda x: x.cast("double"))
 
 
-def units(text: Column) -> Column:
+def units(text: str) -> list[str]:
     """The words of a text, each without the meta symbol before it (further ones stay); with it they are the text with its dummy prefix."""
-    t = F.coalesce(text, F.lit(""))
-    odd = F.contains(t, F.lit("  ")) | t.startswith(" ") | t.endswith(" ") | F.contains(t, F.lit(META))
-    marked = F.concat(F.lit(META), F.translate(t, " ", META))
-    slow = F.transform(F.regexp_extract_all(marked, F.lit(f"{META}*[^{META}]+|{META}+"), F.lit(0)), lambda u: F.substring(u, F.lit(2), F.length(u)))
-    return F.when(t == "", F.array().cast("array<string>")).when(odd, slow).otherwise(F.split(t, " "))
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " " or META in text:
+        return [u[1:] for u in ODD.findall(META + text.replace(" ", META))]
+    return text.split(" ")
 
 
 def bit(k: Column) -> Column:
@@ -225,17 +232,53 @@ def long_ids(word: str, table_: dict[str, tuple[int, float]], first_byte: int, m
     return out
 
 
-def _long(each: DataFrame, pieces: Pieces) -> DataFrame:
-    """(row, pos, word, ids) of the long words."""
-    shared = each.sparkSession.sparkContext.broadcast(({p: (i, s) for p, i, s in pieces.rows}, pieces.bytes[0], pieces.merges, pieces.longest, pieces.unknown))
+class _Known(dict):
+    """What `make` gives for a text, kept for those of at most LONG characters."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):  # one at a time: each may be very long
-                own = b.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([long_ids(own.column(2)[0].as_py(), *shared.value)], pa.list_(pa.int32()))], names=["row", "pos", "word", "ids"])
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= LONG:
+            self[key] = found
+        return found
+
+    def forget(self) -> None:
+        """Beyond KNOWN entries the later half goes: the frequent ones came first."""
+        if len(self) > KNOWN:
+            while len(self) > KNOWN // 2:
+                self.popitem()
+
+
+class Encoder:
+    """Ids of whole texts. frequent: ids of spans that are known beforehand, as bytes of 32-bit numbers; the others are merged by a heap."""
+
+    def __init__(self, rows: list[tuple[str, int, float]], first_byte: int, merges: bool, longest: int, unknown: float, frequent: dict[str, bytes]):
+        self.table, self.rest, self.frequent = {p: (i, s) for p, i, s in rows}, (first_byte, merges, longest, unknown), frequent
+        self.pairs = {p[k : k + 2] for p, _, _ in rows for k in range(len(p) - 1)}
+        self.spans, self.words = _Known(self._span), _Known(self._word)
+
+    def cut(self, word: str) -> list[str]:
+        """The spans of a word, with the meta symbol before it: no piece holds the two characters at a cut."""
+        word, pairs = META + word, self.pairs
+        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])]
+
+    def _span(self, span: str) -> bytes:
+        return array("i", long_ids(span, self.table, *self.rest)).tobytes()
 
-    return each.select("row", "pos", "word").mapInArrow(run, "row bigint, pos int, word string, ids array<int>")
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.frequent.get(s) or self.spans[s] for s in self.cut(word)])
+
+    def encode(self, text: str) -> tuple[bytes, int]:
+        """The ids, as bytes of 32-bit numbers, and the number of words."""
+        words, out = units(text), []
+        for at in range(0, len(words), STEP):
+            out += map(self.words.__getitem__, words[at : at + STEP])
+            self.words.forget()
+            self.spans.forget()
+        return b"".join(out), len(words)
 
 
 def _spelled(ids: str, pieces: Pieces) -> Column:
@@ -255,72 +298,85 @@ def grouped_in_memory(spark: SparkSession, keys: int) -> Iterator[None]:
         spark.conf.set(FALLBACK, before)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): a number for each row."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def _made(pieces: Pieces) -> tuple:
+    return pieces.rows, pieces.bytes[0], pieces.merges, pieces.longest, pieces.unknown
 
 
-def hot_words(rows: DataFrame, hot: int) -> tuple[DataFrame, int]:
-    """(word) of the most frequent words of a sample of the rows, and about how many occurrences the others have. The sample only steers the plan: no result depends on it."""
-    counts = settle(_each(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)).where(F.length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")))
-    top = settle(counts.orderBy(F.col("n").desc(), "word").limit(hot))
-    total, own = (x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (counts, top))
-    drop_settled(counts)
-    return top.select("word"), SAMPLE * (total - own)
+def hot_spans(docs: DataFrame, pieces: Pieces, hot: int) -> DataFrame:
+    """(word) of the most frequent spans, of at most LONG characters, of a sample of the rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(_made(pieces))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, words = Encoder(*shared.value, {}).cut, Counter()
 
-def _each(rows: DataFrame) -> DataFrame:
-    """(row, pos, word) of every word of every text."""
-    return rows.select("row", F.posexplode(units(F.col("text"))).alias("pos", "unit")).select("row", "pos", F.concat(F.lit(META), "unit").alias("word"))
+        def flush() -> pa.RecordBatch:
+            spans: Counter = Counter()
+            for word, n in words.items():
+                for s in cut(word):
+                    spans[s] += n * (len(s) <= LONG)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(spans), pa.string()), pa.array(list(spans.values()), pa.int64())], names=["word", "n"])
 
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words.update(units(text or ""))
+                if len(words) > KNOWN:
+                    yield flush()
+        yield flush()
+
+    own = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = own.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    return counts.orderBy(F.col("n").desc(), "word").limit(hot).select("word")
+
+
+def encoded(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...], hot: int = HOT) -> DataFrame:
+    """`keep`, ids and n_words of each whole text, a row for every row."""
+    spark = docs.sparkSession
+    with grouped_in_memory(spark, 4 * A_TASK):
+        top = settle(hot_spans(docs, pieces, hot))
+        known = settle(encode_words(top.repartition(max(1, -(-top.count() // A_TASK * 4)), "word"), pieces))
+    # at most `hot` spans of at most LONG characters: a proven bound for what the driver sees and what is broadcast
+    got = known.toArrow()
+    flat, stops = got.column("ids").combine_chunks(), np.cumsum([0, *(len(x) for x in got.column("ids"))]).tolist()
+    raw = flat.flatten().to_numpy().astype("<i4").tobytes()
+    frequent = {w: raw[4 * a : 4 * b] for w, a, b in zip(got.column("word").to_pylist(), stops, stops[1:])}
+    drop_settled(top)
+    drop_settled(known)
+    shared = spark.sparkContext.broadcast((*_made(pieces), frequent))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_ = Encoder(*shared.value).encode
+        for b in slices(batches, "text", SLICE):
+            made = [encode_(x or "") for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x, _ in made)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x for x, _ in made), np.int32)))
+            own = [b.column(b.schema.get_field_index(n)) for n in keep]
+            yield pa.RecordBatch.from_arrays([*own, ids, pa.array([n for _, n in made], pa.int64())], names=[*keep, "ids", "n_words"])
 
-def encoded(rows: DataFrame, pieces: Pieces, made: dict[str, Column], hot: int = HOT) -> DataFrame:
-    """(row, pos, ...) of every word of every text: `made` are columns of a word and its ids."""
-    cols = [c.alias(n) for n, c in made.items()]
-    spark = rows.sparkSession
-    top, others = hot_words(rows, hot)
-    tasks = max(1, -(-top.count() // A_TASK * 4))
-    frequent = settle(encode_words(top.repartition(tasks, "word"), pieces).select("word", *cols))
-    # at most `hot` words of at most LONG characters: a proven bound for what is broadcast
-    each = _each(rows)
-    short = each.where(F.length("word") <= LONG)
-    known = short.join(F.broadcast(frequent), "word").select("row", "pos", *made)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-others // A_TASK))
-    rare = short.join(F.broadcast(frequent.select("word")), "word", "left_anti").select("word", "row", "pos").repartition(tasks, "word")
-    # the aggregate keeps row and pos, so that both sides read one and the same exchange
-    words = rare.groupBy("word").agg(F.max("row").alias("_row"), F.max("pos").alias("_pos")).where(F.col("_row").isNotNull() & F.col("_pos").isNotNull())
-    made_here = encode_words(words.select("word"), pieces).select("word", *cols)
-    joined = rare.join(made_here.hint("shuffle_hash"), "word").select("row", "pos", *made)
-    # only texts that have a long word are cut into words for them
-    long_ = _each(rows.where(F.coalesce(F.col("text").rlike(f"[^ {META}]{{{LONG}}}|[ {META}]{{{LONG}}}"), F.lit(False)))).where(F.length("word") > LONG)
-    return known.unionByName(joined).unionByName(_long(long_, pieces).select("row", "pos", *cols))
+    kinds = dict(docs.dtypes)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "ids array<int>, n_words bigint"]))
 
 
 def encode(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
     """(doc_id, ids) of each whole text, a row for every row."""
-    rows = numbered(docs)
-    with grouped_in_memory(docs.sparkSession, 4 * A_TASK):
-        each = encoded(rows, pieces, {"ids": F.col("ids")}, hot)
-        ids = settle(each.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids")))
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return encoded(docs, pieces, ("doc_id",), hot).select("doc_id", "ids")
+
+
+def _read_back(pieces: Pieces) -> Column:
+    text = F.translate(F.try_to_binary(_spelled("ids", pieces), F.lit("hex")).cast("string"), META, " ")
+    return F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit(""))
 
 
 def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
     """(doc_id, text) from (doc_id, ids), without the dummy prefix, row by row. Bytes that are no UTF-8 read as the replacement character."""
-    text = F.translate(F.try_to_binary(_spelled("ids", pieces), F.lit("hex")).cast("string"), META, " ")
-    return coded.select("doc_id", F.coalesce(F.regexp_replace(text, "^ ", ""), F.lit("")).alias("text"))
+    return coded.select("doc_id", _read_back(pieces).alias("text"))
 
 
 def digest(docs: DataFrame, pieces: Pieces, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_words, n_pieces, ids_digest, decoded) of each whole text. The digest is the sum of 31-bit hashes of (place of the word, its ids), so words add up where they are; decoded: whether all ids read back as their words."""
-    rows = numbered(docs)
-    made = {"n": F.size("ids"), "h": F.xxhash64("ids"), "wrong": (_spelled("ids", pieces) != F.hex(F.encode("word", "utf-8"))).cast("int")}
-    with grouped_in_memory(docs.sparkSession, 4 * A_TASK):
-        each = encoded(rows, pieces, made, hot).select("row", F.lit(None).cast("bigint").alias("doc_id"), (F.lit(1 << 32).cast("bigint") + F.col("n")).alias("n"), F.pmod(F.xxhash64("pos", "h"), F.lit(1 << 31)).alias("ids_digest"), "wrong")
-        zero = lambda kind: F.lit(0).cast(kind)
-        base = rows.select("row", F.col("doc_id").cast("bigint").alias("doc_id"), zero("bigint").alias("n"), zero("bigint").alias("ids_digest"), zero("int").alias("wrong"))
-        sums = settle(each.unionByName(base).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n"), F.sum("ids_digest").alias("ids_digest"), F.max("wrong").alias("wrong")))
-    return sums.select("doc_id", F.shiftright("n", 32).alias("n_words"), F.col("n").bitwiseAND((1 << 32) - 1).alias("n_pieces"), "ids_digest", (F.col("wrong") == 0).alias("decoded"))
+    """(doc_id, n_words, n_pieces, ids_digest, decoded) of each whole text, from its ids: their number, the hash of them all in order, and whether the text decoded from them is the text."""
+    coded = encoded(docs.select("doc_id", "text"), pieces, ("doc_id", "text"), hot)
+    same = _read_back(pieces) == F.coalesce(F.translate("text", META, " "), F.lit(""))
+    return coded.select("doc_id", "n_words", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_digest"), same.alias("decoded"))
 
 
 def model_path() -> str:

@@ -3,7 +3,9 @@
 import numpy as np
 
 import corpus_pipeline
-from bitloom.llm import langid, packing
+from pyspark.sql import functions as F
+
+from bitloom.llm import langid, packing, pieces
 from bitloom.llm.components import forest
 
 
@@ -65,3 +67,21 @@ def test_pipeline_drops_near_copies(spark):
     want = sorted(set(forest(len(texts), a, b).tolist()))
     got = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs), "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_pieces_digest_is_of_whole_ids(spark):
+    """The query's figures come from the ids of the whole text, in order, and from the text decoded from them."""
+    import sentencepiece
+
+    m = pieces.Pieces(pieces.model_path())
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = np.random.default_rng(5)
+    letters = list("aeinrst.,;:'\"()-_/0123456789AZ▁ é語𝄞")
+    texts = [None, "", "one two", "two one", "x" * 30_000, *("".join(rng.choice(letters, 90)) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = [lib.encode(t or "") for t in texts]
+    want = {r.doc_id: r.h for r in spark.createDataFrame(list(enumerate(ids)), "doc_id bigint, ids array<int>").select("doc_id", F.xxhash64("ids").alias("h")).collect()}
+    for hot in (0, 20, pieces.HOT):
+        got = {r.doc_id: r for r in pieces.digest(docs, m, hot=hot).collect()}
+        assert {i: r.ids_digest for i, r in got.items()} == want and all(r.decoded for r in got.values())
+        assert [got[i].n_pieces for i in range(len(texts))] == list(map(len, ids))
