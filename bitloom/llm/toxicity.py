@@ -5,9 +5,13 @@ counts is rows: an n-gram has one witness in each row that shows it, so classes
 stay comparable. Bigrams back off to their class's words and these to counts that both classes share, gathered over the
 whole corpus. The discounts are Kneser-Ney's, n1 / (n1 + 2 n2), below 1, from the counts of counts before any pruning.
 
-The models hold the expressions that stand in `SHARE` of the rows of either class, and in `LEAST` rows: a model of bounded
-size at any input (no more words and bigrams than a row has on average, over SHARE, a class), which keeps what it is at
-any size. Other words are one unknown word, and other bigrams leave their mass to the backoff.
+All words and all bigrams of the labelled rows are counted, and the models hold each that tells the classes apart, however
+rare: whose witnesses are split unlike the classes' rows beyond chance (a likelihood ratio G of `SURE` or more, which chance
+gives one expression in 4e9). A witness is here a distinct pair of neighbouring words, for what a text's copies share says
+nothing of the classes; neighbours count by a hash of 16 bits, so G can only be taken for less. For the common language the
+models hold those too that stand in `SHARE` of the rows of either class, and in `LEAST` rows. What is left is rare and split
+like the classes; it says nothing of them, and as one unknown word and as the backoff's mass it weighs in every text (held
+one by one it is noise: the README has figures).
 
 The score is a logistic curve over the difference of the log-likelihoods divided by the length (damped by `DAMP` words for
 very short texts). The curve alone is fitted on a sample, of at most `PER_CLASS` rows a class, each with its own witnesses
@@ -22,22 +26,27 @@ null doc_id has no label and is scored; ties and repeats score alike; extra colu
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import bounded_ids, drop_settled, id_crc, settle, slices, table
 
 WORD = re.compile(r"\w+")
-SHARE, LEAST, DAMP, PER_CLASS = 1 / 64, 8, 40, 2000
+SHARE, LEAST, SURE, DAMP, PER_CLASS = 1 / 64, 8, 40.0, 40, 2000
 #: Labels up to this many rows are broadcast to the texts (about 40 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 FLUSH, SLICE = 200_000, 2 << 20
+#: Words at which a task hands its bigrams on; distinct words a worker keeps; labelled rows a bucket of bigrams.
+PAIRS, WORDS, CODES, ROWS_A_BUCKET = 2_000_000, 500_000, 1 << 24, 5_000
+SEED = 42  # of Spark's xxhash64
 START, UNKNOWN = 0, 1
 
 
@@ -173,6 +182,95 @@ def _gram_rows(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("side", "text").mapInArrow(run, "side int, gram bigint, n bigint").groupBy("side", "gram").agg(F.sum("n").alias("n"))
 
 
+def split(n0: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
+    """G, the likelihood ratio of rows split n0 to n1 against the classes' own split."""
+    n0, n1 = np.asarray(n0, float), np.asarray(n1, float)
+    of = lambda k, p: k * np.log(np.maximum(k, 1e-9) / ((n0 + n1) * p))
+    return 2 * (of(n0, 1 - share) + of(n1, share))
+
+
+class _Codes(dict):
+    """Numbers words as they come, from 1 (0 is the row start); hashes: by number."""
+
+    def __init__(self) -> None:
+        self.hashes = array("Q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), SEED))
+        return n
+
+
+def _telling(rows: DataFrame, buckets: int, share: float) -> DataFrame:
+    """(a, b): hashes of the bigrams that tell the classes apart, among all of labelled rows, and with b 0 of such words. A row start hashes to 0."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, seen, held = _Codes(), ([], []), 0
+
+        def flush() -> pa.RecordBatch:
+            out, hashes = [], np.array(codes.hashes, np.uint64)
+            for y in (0, 1):
+                key = np.unique(np.concatenate(seen[y] or [np.zeros(0, np.uint64)]))
+                seen[y].clear()
+                left, right, near = hashes[key >> np.uint64(40)], hashes[key >> np.uint64(16) & np.uint64(CODES - 1)], key.astype(np.uint16)
+                bucket = (left % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")  # a left word's bigrams stay together
+                stops = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+                for b in np.flatnonzero(np.diff(stops)).tolist():
+                    at = order[stops[b] : stops[b + 1]]
+                    a = left[at]
+                    head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                    out.append((b, y, a[head].tobytes(), np.diff(np.r_[head, len(a)]).astype(np.uint32).tobytes(), right[at].tobytes(), near[at].tobytes()))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "side", "a", "k", "b", "near"])
+
+        for batch in slices(batches, "text", SLICE):
+            lists = [tokens(t) for t in _texts(batch)]
+            side, sizes = np.array(batch.column(0).to_pylist(), np.int64), np.array([len(x) for x in lists], np.int64)
+            ids = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+            if not len(ids):
+                continue
+            if len(codes.hashes) > CODES:
+                raise ValueError("a row of more than 16 million different words")
+            hashes, row, left, after = np.array(codes.hashes, np.uint64), np.repeat(side, sizes), _left(ids, sizes), np.zeros_like(ids)
+            after[:-1] = ids[1:]
+            after[np.cumsum(sizes)[sizes > 0] - 1] = START
+            near = lambda x, z: (hashes[x] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[z]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)
+            pair = (left << 40 | ids << 16).astype(np.uint64) | near(_left(left, sizes), after)
+            word = (ids << 40).astype(np.uint64) | near(left, after)
+            for y in (0, 1):
+                seen[y].extend((np.unique(pair[row == y]), np.unique(word[row == y])))
+            held += len(ids)
+            if held > PAIRS:
+                yield flush()
+                held = 0
+                if len(codes) > WORDS:
+                    codes = _Codes()
+        yield flush()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for _, y, a, k, b, near in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                b = np.frombuffer(b, np.uint64)
+                parts.append((np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(k, np.uint32)), b, np.frombuffer(near, np.uint16).astype(np.int32) + (y << 16)))
+        if not parts:
+            return
+        a, b, near = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((near, b, a))
+        a, b, near = a[order], b[order], near[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        one = new | np.r_[True, near[1:] != near[:-1]]
+        group, m = np.cumsum(new) - 1, int(new.sum())
+        n0, n1 = (np.bincount(group[one & (near >> 16 == y)], minlength=m) for y in (0, 1))
+        tells = split(n0, n1, share) >= SURE
+        yield pa.RecordBatch.from_arrays([pa.array(x[new][tells].view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    made = rows.select("side", "text").mapInArrow(run, "bucket int, side int, a binary, k binary, b binary, near binary")
+    return made.repartition(buckets, "bucket").mapInArrow(add, "a bigint, b bigint")
+
+
 def _counts_of_counts(counts: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.side, r.n): r["count"] for r in counts.where("n <= 2").groupBy("side", "n").count().collect()}
 
@@ -193,8 +291,15 @@ def gather(rows: DataFrame) -> Model:
     share = toxic / max(1, toxic + ordinary)
     if not toxic or not ordinary:
         return Model(share=share)
-    enough = F.when(F.col("side") == 1, F.lit(max(LEAST, SHARE * toxic))).otherwise(F.lit(max(LEAST, SHARE * ordinary)))
-    words = sorted(r.word for r in word_rows.where(F.col("word").isNotNull() & (F.col("n") >= enough)).select("word").distinct().collect())
+    enough = (F.col("n0") >= max(LEAST, SHARE * ordinary)) | (F.col("n1") >= max(LEAST, SHARE * toxic))
+    by_class = [F.sum(F.when(F.col("side") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(toxic + ordinary) // ROWS_A_BUCKET))
+    telling = settle(_telling(rows.where("side >= 0"), buckets, share))
+    hashes = telling.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    words = word_rows.where("word is not null").groupBy("word").agg(*by_class).join(hashes, F.xxhash64("word") == F.col("h"), "left")
+    words = sorted(r.word for r in words.where(enough | F.col("h").isNotNull()).select("word").distinct().collect())
+    pairs_told = [(r.a, r.b) for r in telling.where("b <> 0").collect()]
+    drop_settled(telling)
     ones = _counts_of_counts(word_rows.where("word is not null"))
     drop_settled(word_rows)
     model = Model(words, share)
@@ -210,8 +315,10 @@ def gather(rows: DataFrame) -> Model:
     context = np.zeros((2, size), np.int64)
     for r in pairs.groupBy("side", F.expr(f"gram div {size}").alias("left")).agg(F.sum("n").alias("n")).collect():
         context[r.side, r.left] = r.n
-    kept = pairs.groupBy("gram").agg(*[F.sum(F.when(F.col("side") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
-    found = sorted((r.gram, r.n0, r.n1) for r in kept.where((F.col("n0") >= max(LEAST, SHARE * ordinary)) | (F.col("n1") >= max(LEAST, SHARE * toxic))).collect())
+    number = {0: START} | {int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)).view(np.int64)): i for w, i in model.vocab.items()}
+    told = rows.sparkSession.createDataFrame(pa.table({"gram": pa.array([number[a] * size + number[b] for a, b in pairs_told], pa.int64()), "tells": pa.array([True] * len(pairs_told), pa.bool_())}))
+    kept = pairs.groupBy("gram").agg(*by_class).join(F.broadcast(told), "gram", "left")
+    found = sorted((r.gram, r.n0, r.n1) for r in kept.where(enough | F.col("tells")).collect())
     drop_settled(grams)
     table_ = np.array(found, np.int64).reshape(-1, 3)
     model.sides = tuple(Class(alone[y + 1], context[y], table_[:, 0], table_[:, y + 1], discount(ones.get((y, 1), 0), ones.get((y, 2), 0)), discount(twos.get((y, 1), 0), twos.get((y, 2), 0)), shared) for y in (0, 1))

@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import zlib
+
 import numpy as np
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from bitloom.llm import langid, packing, pieces
+from bitloom.llm import langid, packing, pieces, toxicity
 from bitloom.llm.components import forest
 
 
@@ -85,3 +87,30 @@ def test_pieces_digest_is_of_whole_ids(spark):
         got = {r.doc_id: r for r in pieces.digest(docs, m, hot=hot).collect()}
         assert {i: r.ids_digest for i, r in got.items()} == want and all(r.decoded for r in got.values())
         assert [got[i].n_pieces for i in range(len(texts))] == list(map(len, ids))
+
+
+def test_toxicity_holds_rare_expressions_that_tell(spark):
+    """A word, and a phrase of two harmless words, in too few toxic rows for a share of the class."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(12000):
+        words = [f"w{k}" for k in rng.integers(0, 200, 12)]
+        toxic = i % 8 == 0
+        if i % 800 == 0:
+            words.insert(5, "vile")
+        if i % 800 in (8, 5):
+            words[5:5] = ["black", "heart"] if toxic else ["heart", "black"]
+        if toxic:
+            words[2:2] = ["nasty"]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs, marks = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert {"vile", "nasty", "black", "heart"} <= set(model.vocab)
+    size, (plain, bad) = model.size, model.sides
+    pair = model.vocab["black"] * size + model.vocab["heart"]
+    at = bad.keys.tolist().index(pair)
+    toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 12000, 8))
+    assert 0 < bad.counts[at] < toxicity.SHARE * toxic > bad.rows[model.vocab["vile"]] > 0 and plain.counts[at] == 0
+    d = lambda t: model.differences([t])[0]
+    assert d("w1 vile w2") > d("w1 unheard w2") and d("w1 black heart") > d("w1 heart black")
+    assert toxicity.split([0, 30, 0], [9, 10, 3], 0.25).round(3).tolist() == [24.953, 0.0, 8.318]
