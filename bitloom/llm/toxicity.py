@@ -45,7 +45,7 @@ SHARE, LEAST, SURE, DAMP, PER_CLASS = 1 / 64, 8, 40.0, 40, 2000
 BROADCAST_ROWS = 1_000_000
 FLUSH, SLICE = 200_000, 2 << 20
 #: Words at which a task hands its bigrams on; distinct words a worker keeps; labelled rows a bucket of bigrams.
-PAIRS, WORDS, CODES, ROWS_A_BUCKET = 2_000_000, 500_000, 1 << 24, 5_000
+PAIRS, WORDS, CODES, ROWS_A_BUCKET = 1_000_000, 500_000, 1 << 24, 1_000
 SEED = 42  # of Spark's xxhash64
 START, UNKNOWN = 0, 1
 
@@ -258,6 +258,7 @@ def _telling(rows: DataFrame, buckets: int, share: float) -> DataFrame:
         if not parts:
             return
         a, b, near = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         order = np.lexsort((near, b, a))
         a, b, near = a[order], b[order], near[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
