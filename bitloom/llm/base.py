@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """One input table; only `cols` when given, so that the scan is pruned."""
@@ -18,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage, survives lost executors, computes once."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it again: cuts lineage, survives lost executors, computes once. free: the write's shuffle files, which nothing reads again, go at once."""
+    path, conf = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(FREE)
+    try:
+        conf.set(FREE, str(free or before == "true").lower())
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -34,6 +42,39 @@ def drop_settled(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What operators keep in a Python worker from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def trim() -> None:
+    """Give memory that was freed back to the system: NumPy's and Arrow's allocators keep it otherwise, and Spark keeps its workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def leave(own: str = "") -> None:
+    """Let go what other operators than `own` keep in this worker."""
+    others = [kept for name, kept in KEPT.items() if name != own and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        trim()
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: str = "") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, in a worker that holds no other operator's memory before and none of its own afterwards (but what it keeps as `own`)."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave(own)
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, tuple[str, ...], list[Column]]:
     """`docs` with columns of these names renamed, so that an operator may add its own; its columns now; and how to select them as they were."""
     other = {n: f"_own_{n}" for n in names if n in docs.columns}

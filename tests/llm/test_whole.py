@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from bitloom.llm import langid, packing, pieces, toxicity
+from bitloom.llm import langid, packing, pieces, shingles, toxicity
 from bitloom.llm.components import forest
 
 
@@ -71,6 +71,39 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_near_copies_have_an_exact_join(spark):
+    """Pairs at 0.8 exactly that share none of 24 MinHash bands of 5 rows (seeds 25652 and 32952 of the first 33,000), far from each other by SimHash."""
+    texts = []
+    for seed in (25652, 32952):
+        words = [f"w{k}" for k in np.random.default_rng(seed).integers(0, 10**6, 49)]
+        texts += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    assert jaccard(*map(sets, texts[:2])) == jaccard(*map(sets, texts[2:])) == 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever is taken for frequent, sets from 0.8 share a key, and at places that allow it."""
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        n = int(rng.integers(1, 120))
+        every = np.unique(rng.integers(0, 1 << 64, 2 * n, np.uint64, endpoint=False))
+        x = np.sort(rng.choice(every, n, replace=False))
+        y = np.union1d(x[rng.random(n) >= 0.1], rng.choice(every, n // 9))
+        if not len(y) or jaccard(set(x.tolist()), set(y.tolist())) < 0.8:
+            continue
+        hot = np.sort(rng.choice(every, int(rng.integers(0, len(every) + 1)), replace=False))
+        i, j = (shingles.keys(s, 0.8, hot).tolist() for s in (x, y))
+        first = next(k for k in i if k in j)
+        assert min(len(x) - i.index(first), len(y) - j.index(first)) * 1.8 >= (len(x) + len(y)) * 0.8 - 1e-9
+
+
+def test_frequent_shingles_are_found(spark):
+    docs = spark.createDataFrame([(f"{k} a b c d e {k}",) for k in range(9)] * 2 + [(None,), ("",)], "text string")
+    want = shingles.shingles(b"a b c d e".split())
+    assert shingles.often(docs, 1, 9).tolist() == want.tolist() and not len(shingles.often(docs, 1, 10))
+
+
 def test_pieces_digest_is_of_whole_ids(spark):
     """The query's figures come from the ids of the whole text, in order, and from the text decoded from them."""
     import sentencepiece
