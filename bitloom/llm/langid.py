@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded_ids, id_crc, slices, table
+from .base import bounded_ids, id_crc, lean, slices, table
 
 BUCKETS, BLOCK, SLICE, UNKNOWN = 1 << 16, 64, 1 << 20, "und"
 PER_LABEL, ROWS, PER_ROW, LEXICON, STEPS, BATCH = 1500, 24_000, 6, 4096, 400, 64
@@ -313,7 +313,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(chain), pa.array(moves)], names=names)
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), ADDED]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), ADDED]))
 
 
 def sample(docs: DataFrame, per_label: int = PER_LABEL, rows: int = ROWS) -> list[tuple[str, str]]:
@@ -330,7 +330,7 @@ def sample(docs: DataFrame, per_label: int = PER_LABEL, rows: int = ROWS) -> lis
     # `rows` ids at most (one a language at least): bounded whatever the input
     own = train.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text is not null")
     own = own.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
-    return sorted((r.span, r.lang) for r in own.mapInArrow(run, "span string, lang string").toLocalIterator())
+    return sorted((r.span, r.lang) for r in own.mapInArrow(lean(run), "span string, lang string").toLocalIterator())
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

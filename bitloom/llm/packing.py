@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import settle, slices, table
+from .base import KEPT, lean, settle, slices, table
 
 CAPACITY, END, PER_TASK, KNOWN, SLICE = 4096, 1, 100_000, 300_000, 1 << 20
 TOKENIZER = "word_bpe_49k.json"
@@ -142,8 +142,8 @@ class Encoder:
         return [np.frombuffer(self.whole(t), np.uint32) if o else ids[a:b] for t, o, a, b in zip(texts, odd, stops[:-1], stops[1:])]
 
 
-#: One encoder for each path in a Python worker: what it knows serves the tasks that the worker runs after another.
-_ENCODERS: dict[str, Encoder] = {}
+#: One encoder for each path in a Python worker: what it knows serves the tasks that the worker runs after another, till one of another operator comes.
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("packing", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, "packing"), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

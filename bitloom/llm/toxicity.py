@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded_ids, drop_settled, id_crc, settle, slices, table
+from .base import bounded_ids, drop_settled, id_crc, lean, settle, slices, table
 
 WORD = re.compile(r"\w+")
 SHARE, LEAST, SURE, DAMP, PER_CLASS = 1 / 64, 8, 40.0, 40, 2000
@@ -158,7 +158,7 @@ def _word_rows(rows: DataFrame) -> DataFrame:
                     seen = (Counter(), Counter())
         yield flush(seen)
 
-    return rows.select("side", "text").mapInArrow(run, "side int, word string, n bigint").groupBy("side", "word").agg(F.sum("n").alias("n"))
+    return rows.select("side", "text").mapInArrow(lean(run), "side int, word string, n bigint").groupBy("side", "word").agg(F.sum("n").alias("n"))
 
 
 def _gram_rows(rows: DataFrame, model: Model) -> DataFrame:
@@ -179,7 +179,7 @@ def _gram_rows(rows: DataFrame, model: Model) -> DataFrame:
             gram = np.where(own < lm.size, -1 - own, own - lm.size)
             yield pa.RecordBatch.from_arrays([pa.array((key // span - 1).astype(np.int32)), pa.array(gram), pa.array(n.astype(np.int64))], names=["side", "gram", "n"])
 
-    return rows.select("side", "text").mapInArrow(run, "side int, gram bigint, n bigint").groupBy("side", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("side", "text").mapInArrow(lean(run), "side int, gram bigint, n bigint").groupBy("side", "gram").agg(F.sum("n").alias("n"))
 
 
 def split(n0: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
@@ -268,8 +268,8 @@ def _telling(rows: DataFrame, buckets: int, share: float) -> DataFrame:
         tells = split(n0, n1, share) >= SURE
         yield pa.RecordBatch.from_arrays([pa.array(x[new][tells].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    made = rows.select("side", "text").mapInArrow(run, "bucket int, side int, a binary, k binary, b binary, near binary")
-    return made.repartition(buckets, "bucket").mapInArrow(add, "a bigint, b bigint")
+    made = rows.select("side", "text").mapInArrow(lean(run), "bucket int, side int, a binary, k binary, b binary, near binary")
+    return made.repartition(buckets, "bucket").mapInArrow(lean(add), "a bigint, b bigint")
 
 
 def _counts_of_counts(counts: DataFrame) -> dict[tuple[int, int], int]:
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             side = np.array(b.column(1).to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.differences(_texts(b), side))], names=["doc_id", "side", "d"])
 
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "side", "text").mapInArrow(run, "doc_id bigint, side int, d double")
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "side", "text").mapInArrow(lean(run), "doc_id bigint, side int, d double")
     got = np.array(sorted((r.side, r.d) for r in own.groupBy("doc_id", "side").agg(F.min("d").alias("d")).collect()), float).reshape(-1, 2)
     y, x = got[:, 0], got[:, 1]
     if 0 < y.sum() < len(y):
@@ -360,7 +360,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             yield pa.RecordBatch.from_arrays([*own, pa.array(shared.value.scores(_texts(b)))], names=[*keep, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "score double"]))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), ", ".join([*(f"`{n}` {kinds[n]}" for n in keep), "score double"]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Cases in which an operator once did less than the whole job."""
 
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from bitloom.llm import langid, packing, pieces, shingles, toxicity
+from bitloom.llm import base, langid, packing, pieces, shingles, toxicity
 from bitloom.llm.components import forest
 
 
@@ -104,6 +106,20 @@ def test_frequent_shingles_are_found(spark):
     assert shingles.often(docs, 1, 9).tolist() == want.tolist() and not len(shingles.often(docs, 1, 10))
 
 
+def test_a_worker_lets_go():
+    """A task of another operator finds no encoder of packing in its worker, and what a task freed is the system's again."""
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    packing.encoder(packing.tokenizer_path())
+    assert not list(base.lean(iter, "packing")([])) and packing._ENCODERS
+    assert list(base.lean(iter)([1, 2])) == [1, 2] and not packing._ENCODERS
+    parts = [np.ones(1 << 12) for _ in range(4000)]
+    last = parts[-1]  # the end of the heap stays in use
+    del parts
+    before = held()
+    list(base.lean(iter)([]))
+    assert held() < before - 60 and last.all()
+
+
 def test_pieces_digest_is_of_whole_ids(spark):
     """The query's figures come from the ids of the whole text, in order, and from the text decoded from them."""
     import sentencepiece
