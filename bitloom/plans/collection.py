@@ -66,8 +66,8 @@ class Collection:
     def _words(self) -> int:
         return -(-self.embedder.dimensions // 64)
 
-    def add(self, data: Item | Sequence[Item] | DataFrame, metadata: Mapping[str, Any] | None = None, item_id: str | None = None, need_chunks: bool = False, fast: bool = True, order: str | None = None) -> list[tuple[str, int]] | DataFrame:
-        """Insert texts, dicts (text, metadata, id) or a DataFrame (text[, item_id, metadata]), whose rows are in the order of column `order` or as they come. One id a call unless an item brings its own.
+    def add(self, data: Item | Sequence[Item] | DataFrame, metadata: Mapping[str, Any] | None = None, item_id: str | None = None, need_chunks: bool = False, fast: bool = True, order: str | Sequence[str] | None = None) -> list[tuple[str, int]] | DataFrame:
+        """Insert texts, dicts (text, metadata, id) or a DataFrame (text[, item_id, metadata]), whose rows are inserted in the order of column (or columns) `order` or as they come. One id a call unless an item brings its own.
 
         Returns (item_id, chunks) of every item inserted: a list, or for a DataFrame a DataFrame. Metadata of a DataFrame is JSON by key, numbers in lists and objects written as Python writes them.
         """
@@ -76,7 +76,9 @@ class Collection:
             own = "item_id" in data.columns
             fresh = fresh and not own
             meta = F.col("metadata") if "metadata" in data.columns else F.create_map().cast(META)
-            rows = data.select((F.col("item_id").cast("string") if own else F.lit(whole)).alias("item_id"), (F.col(order) if order else F.monotonically_increasing_id()).alias("n"), F.col("text").cast("string").alias("text"), meta.alias("metadata"))
+            by = [order] if isinstance(order, str) else list(order or [])
+            data = data.orderBy(*by) if by else data  # how files are cut into partitions then decides nothing
+            rows = data.select((F.col("item_id").cast("string") if own else F.lit(whole)).alias("item_id"), (F.struct(*by) if by else F.monotonically_increasing_id()).alias("n"), F.col("text").cast("string").alias("text"), meta.alias("metadata"))
             rows = rows.withColumn("canon", F.transform_values("metadata", lambda _, v: canonical_column(v)))
         else:
             items = [data] if isinstance(data, (str, Mapping)) else list(data)

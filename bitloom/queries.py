@@ -46,7 +46,7 @@ def _talks(spark: SparkSession, d: str) -> Collection:
     """A collection of the conversations: an item is a conversation, a chunk a turn."""
     c = _store(spark)
     rows = table(spark, d, "conversations", "conv_id", "turn", "text", "role")
-    c.add(rows.select(F.col("conv_id").alias("item_id"), "turn", "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata")), order="turn")
+    c.add(rows.select(F.col("conv_id").alias("item_id"), "turn", "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata")), order=["item_id", "turn"])
     c.save()
     return c
 
