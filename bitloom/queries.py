@@ -259,7 +259,7 @@ def hash_embed(spark, d):
 def retrieve_text(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
     c = _store(spark)
-    c.add(docs.select(F.col("doc_id").alias("item_id"), "text"))
+    c.add(docs.select(F.col("doc_id").alias("item_id"), "text"), order="item_id")  # ties go by doc_id
     q = docs.where("doc_id = 0").first()
     hits = c.search(q.text if q else "", 5)
     return hits.select(F.split_part("chunk_id", F.lit("_"), F.lit(1)).cast("bigint").alias("doc_id"), "score")
