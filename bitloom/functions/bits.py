@@ -13,9 +13,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """A double rounded as SQL's oracle does: halves away from zero, of the number times a power of ten, and a negative number that rounds to zero is -0.0."""
+    scaled = F.abs(x) * 10.0**places
+    whole = F.rint(scaled)  # halves to even
+    out = F.signum(x) * F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 10.0**places
+    return F.when(F.abs(out) < float("inf"), out).otherwise(x)
+
+
 def l2_normalize(v: Column) -> Column:
-    """v over its Euclidean length, which counts as 1e-12 at least."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    """v over its Euclidean length, which counts as 1e-12 at least; nulls add nothing to it."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
     return let(F.greatest(norm, F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 

@@ -102,7 +102,7 @@ def truncate_binarize(spark, d):
 @query("""SELECT vec_id, list_transform(e, lambda x: round(x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12), 6)) AS unit
     FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
 def l2_normalize(spark, d):
-    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(bits.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform(bits.l2_normalize(F.col("embedding")), lambda x: bits.rounded(x)).alias("unit"))
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 5")
@@ -119,14 +119,14 @@ def topk_hamming_bits(spark, d):
 def topk_byte_mismatch(spark, d):
     codes = _codes(spark, d)
     codes, q = _beside(codes, _query_code(codes))
-    return search.top_k(codes, F.round(distance.mismatch_similarity(F.col("code"), q), 6), 5, "vec_id", descending=True).select("vec_id", distance.byte_mismatch(F.col("code"), q).alias("mismatches"), "score")
+    return search.top_k(codes, bits.rounded(distance.mismatch_similarity(F.col("code"), q)), 5, "vec_id", descending=True).select("vec_id", distance.byte_mismatch(F.col("code"), q).alias("mismatches"), "score")
 
 
 @query(f"WITH {CODES_SQL} SELECT a.vec_id, round(1 - {MISMATCH_SQL} / 64.0::DOUBLE, 6) AS score FROM c a, c b WHERE b.vec_id = 0")
 def bit_scaled_score(spark, d):
     codes = _codes(spark, d)
     codes, q = _beside(codes, _query_code(codes))
-    return codes.select("vec_id", F.round(distance.bit_scaled_score(F.col("code"), q), 6).alias("score"))
+    return codes.select("vec_id", bits.rounded(distance.bit_scaled_score(F.col("code"), q)).alias("score"))
 
 
 COSINE_SQL = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
@@ -137,7 +137,7 @@ def topk_cosine(spark, d):
     df = table(spark, d, "embeddings", "vec_id", "embedding")
     found = df.where("vec_id = 0").first()
     df, q = _beside(df, [float(x) for x in found.embedding] if found else [])
-    return search.top_k(df, F.round(distance.cosine(F.col("embedding"), q), 6), 10, "vec_id", descending=True).select("vec_id", "score")
+    return search.top_k(df, bits.rounded(distance.cosine(F.col("embedding"), q)), 10, "vec_id", descending=True).select("vec_id", "score")
 
 
 @query(f"SELECT b.vec_id AS qid, a.vec_id, {COSINE_SQL} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
@@ -145,7 +145,7 @@ def cosine_pairs(spark, d):
     """A stated query set (ids divisible by 50) against all rows."""
     df = table(spark, d, "embeddings", "vec_id", "embedding")
     q = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return df.join(q, F.lit(True)).select("qid", "vec_id", F.round(distance.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return df.join(q, F.lit(True)).select("qid", "vec_id", bits.rounded(distance.cosine(F.col("embedding"), F.col("q"))).alias("score"))
 
 
 @query(f"WITH {CODES_SQL}, k AS (SELECT a.vec_id, a.label, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 20) SELECT vec_id, score FROM k WHERE label = 2 ORDER BY score, vec_id LIMIT 5")
@@ -182,7 +182,7 @@ def retrieve_multi_query(spark, d):
 @query("""SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM
     (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL""")
 def mean_pool_by_label(spark, d):
-    return embedding.mean_pool(table(spark, d, "embeddings", "label", "embedding"), "label").select("label", "dim", F.round("x", 6).alias("mean"))
+    return embedding.mean_pool(table(spark, d, "embeddings", "label", "embedding"), "label").select("label", "dim", bits.rounded(F.col("x")).alias("mean"))
 
 
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, substring(text, i * 2048 + 1, 2048) AS text FROM
@@ -348,7 +348,7 @@ def upsert_items(spark, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY event_type")
 def latency_stats(spark, d):
-    return table(spark, d, "events", "event_type", "value").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("spread"))
+    return table(spark, d, "events", "event_type", "value").groupBy("event_type").agg(bits.rounded(F.avg("value")).alias("mean"), bits.rounded(F.stddev_pop("value")).alias("spread"))
 
 
 @query("SELECT item_id, 'Represent this sentence for searching relevant passages: ' || text AS query FROM benchmark")
@@ -381,7 +381,7 @@ def cls_pool(spark, d):
 def masked_mean_pool(spark, d):
     """Masked tokens don't count."""
     rows = table(spark, d, "embeddings", "label", "vec_id", "embedding").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
-    return embedding.pool(rows, "label", "mean", mask="mask").select("label", "dim", F.round("x", 6).alias("mean"))
+    return embedding.pool(rows, "label", "mean", mask="mask").select("label", "dim", bits.rounded(F.col("x")).alias("mean"))
 
 
 @query(f"SELECT vec_id, list_transform(code, lambda x: x - 128) AS code FROM (SELECT vec_id, {_pack_sql()} AS code FROM embeddings)")
@@ -559,7 +559,7 @@ def code_index(spark, d):
     index.add_batch(rows)
     index.add("1", [0] * WIDTH)
     index.remove(["1", "7"])
-    return index.search(one.code if one else [0] * WIDTH, 10).select("key", F.round("score", 6).alias("score"))
+    return index.search(one.code if one else [0] * WIDTH, 10).select("key", bits.rounded(F.col("score")).alias("score"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, octet_length(encode(props)) AS bytes FROM events")
