@@ -145,7 +145,7 @@ def cosine_pairs(spark, d):
     """A stated query set (ids divisible by 50) against all rows."""
     df = table(spark, d, "embeddings", "vec_id", "embedding")
     q = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return df.join(q, F.lit(True)).select("qid", "vec_id", bits.rounded(distance.cosine(F.col("embedding"), F.col("q"))).alias("score"))
+    return search.cosines(df, q)
 
 
 @query(f"WITH {CODES_SQL}, k AS (SELECT a.vec_id, a.label, {XOR_SQL} AS score FROM c a, c b WHERE b.vec_id = 0 ORDER BY score, a.vec_id LIMIT 20) SELECT vec_id, score FROM k WHERE label = 2 ORDER BY score, vec_id LIMIT 5")
