@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import let
+
 CHUNK_CHARS, CHUNK_TOKENS = 2048, 512
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+|\s+"
 PROMPT = "Represent this sentence for searching relevant passages: "
@@ -103,16 +105,14 @@ def token_count(text: Column, special: int = 0) -> Column:
 
 def token_chunks(text: Column, size: int = CHUNK_TOKENS) -> Column:
     """Windows of `size` tokens; up to `size` tokens leave the text as it is, so an empty text is one empty chunk."""
-    t = tokens(text)
-    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(t, i * size + 1, F.lit(size)), ""))
-    return F.when(F.size(t) <= size, F.array(text)).otherwise(windows)
+    windows = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(t, i * size + 1, F.lit(size)), ""))
+    return let(tokens(text), lambda t: F.when(F.size(t) <= size, F.array(text)).otherwise(windows(t)))  # else each window would cut the whole text into tokens again
 
 
 def word_chunks(text: Column, size: int = CHUNK_TOKENS) -> Column:
     """Windows of `size` words, lower case, joined by a space."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), " "))
-    return F.when(F.size(w) <= size, F.array(F.array_join(w, " "))).otherwise(windows)
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, F.lit(size)), " "))
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.when(F.size(w) <= size, F.array(F.array_join(w, " "))).otherwise(windows(w)))
 
 
 def list_chunks(texts: Column, cut: Callable[[Column], Column] = char_chunks) -> Column:
