@@ -494,8 +494,9 @@ def ctx_round_trip(spark, d):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.ctx"
     rows = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     code = F.concat(embedding.HashEmbedder().code(F.col("text")), F.array_repeat(F.lit(0), 56))
+    rows = rows.withColumn("code", code)  # before the rows are numbered in one task
     n = F.row_number().over(W.orderBy("conv_id", "turn")) - 1
-    out = rows.select(n.cast("bigint").alias("ordinal"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata"), code.alias("code"), F.lit(None).cast("array<float>").alias("embedding"))
+    out = rows.select(n.cast("bigint").alias("ordinal"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text", F.create_map(F.lit("role"), F.concat(F.lit('"'), "role", F.lit('"'))).alias("metadata"), "code", F.lit(None).cast("array<float>").alias("embedding"))
     ctx.write_ctx(out, path)
     return ctx.read_ctx(spark, path).select("chunk_id", "text", F.regexp_replace("metadata.role", '"', "").alias("role"), "ordinal")
 
